@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, neardup, sitelines
+from millrace.llm import leakage, neardup, sentences, sitelines
 from millrace.llm.common import table
 
 
@@ -27,5 +27,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.where("longest_run >= 10").select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_ends(table(spark, d, "documents"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
