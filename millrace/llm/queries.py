@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, neardup, sentences, sitelines
+from millrace.llm import encoding, leakage, neardup, sentences, sitelines
 from millrace.llm.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_fields(table(spark, d, "pt_crawl")).select("row_key", "field").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored_crawl(table(spark, d, "pt_crawl"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "pt_processed")).select("row_key_a", "row_key_b").distinct()
 
