@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, leakage, neardup, sentences, sitelines
+from millrace.llm import encoding, leakage, neardup, residue, sentences, sitelines
 from millrace.llm.common import table
 
 
@@ -25,6 +25,18 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "pt_processed"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "pt_crawl"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.without_repeated_lines(table(spark, d, "pt_processed"), table(spark, d, "pt_crawl"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     lines = sitelines.repeated_lines(table(spark, d, "pt_processed"), table(spark, d, "pt_crawl"))
     return lines.where("docs >= 5").select("row_key", F.col("line_no").cast("int").alias("line_no")).distinct()
