@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, leakage, neardup, residue, sentences, sitelines
+from millrace.llm import encoding, leakage, neardup, residue, sentences, sitelines, stuffing
 from millrace.llm.common import table
 
 
@@ -25,6 +25,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "pt_processed"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
 
