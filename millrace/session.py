@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as a table in the shared checkpoint folder and read it back: a compact lineage cut for wide intermediate results.
+
+    Needed where several branches read the costly result of one pass: filters are pushed below a repartition, so Spark would not share it.
+    """
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="millrace-"))
+    path = f"{jsc.getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
