@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, leakage, neardup, residue, sentences, sitelines, stuffing
+from millrace.llm import boilerplate, encoding, leakage, neardup, residue, sentences, sitelines, stuffing
 from millrace.llm.common import table
 
 
@@ -29,6 +29,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, d, "pt_processed"), table(spark, d, "pt_crawl"))
+
+
+def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, d, "pt_processed"), table(spark, d, "pt_crawl"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
 
