@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, encoding, leakage, neardup, residue, sentences, sitelines, stuffing
+from millrace.llm import boilerplate, encoding, leakage, mixing, neardup, residue, sentences, sitelines, stuffing
 from millrace.llm.common import table
 
 
@@ -59,6 +59,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.where("longest_run >= 10").select("doc_id", "item_id").distinct()
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.mixed(table(spark, d, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, d, "documents"))
 
