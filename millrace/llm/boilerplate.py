@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from millrace.llm.common import hash_sample
 from millrace.llm.pages import Block, blocks_of
 
-#: Pages whose labelled blocks the tree is grown on, those with the least hash of their key.
+#: Pages whose labelled blocks the tree is grown on, chosen by a hash of their key.
 SAMPLE_PAGES = 1500
 MAX_DEPTH = 10
 MIN_LEAF = 8
@@ -179,14 +179,8 @@ def visible(page: str) -> list[Block]:
 
 
 def fit_tree(crawl: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Tree | None:
-    """The tree, grown on the driver from at most ``sample_pages`` pages; none if they label nothing."""
-    rows = (
-        crawl.where("page is not null and row_key is not null")
-        .select("title", "page", F.xxhash64("row_key").alias("h"))
-        .orderBy("h")
-        .limit(sample_pages)
-        .collect()  # bounded by sample_pages
-    )
+    """The tree, grown on the driver from about ``sample_pages`` pages; none if they label nothing."""
+    rows = hash_sample(crawl.where("page is not null and row_key is not null").select("row_key", "title", "page"), "row_key", sample_pages).collect()  # at most twice sample_pages
     x, y = labelled([(r["title"], r["page"]) for r in rows])
     return Tree().fit(x, y) if len(y) else None
 

@@ -39,3 +39,9 @@ def with_site(processed: DataFrame, crawl: DataFrame, keep: list[str]) -> DataFr
         .select(*keep, site_of(F.col("_url")).alias("site"))
     )
     return own.unionByName(lost)
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows, at most twice as many, chosen by a hash of ``key``. The rows are counted first, so only the sample itself leaves the executors."""
+    share = min(1.0, n / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * n)
