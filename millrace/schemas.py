@@ -1,0 +1,15 @@
+"""Explicit schemas of the stack's tables, in long form."""
+
+CRAWL = "row_key string, url string, responsecode string, contenttype string, length string, ip string, title string, description string, page string, icon string, fetched_at timestamp_ntz"
+PROCESSED = "row_key string, url string, ip string, title string, description string, text string, links string, fetched_at timestamp_ntz"
+HOSTS = "row_key string, url string, host string, robots string, crawl_delay double, last_access timestamp_ntz"
+CELLS = "row_key string, col string, value string, version bigint"
+EDGES = "src string, dst string"
+RANKS = "url_hash string, rank double"
+POSTINGS = "word string, doc string, positions array<int>, tf bigint, doc_tf double"
+URL_IDS = "key string, number bigint, id string"
+IMAGES = "hash string, src string, alt string, row_key string"
+PLACES = "zip string, row_key string"
+TOP_PAGES = "word string, place int, doc string"
+BAG = "value string"
+PAIRS = "key string, value string"
