@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.memo import memo
 
 # The suffix rules of steps 2 to 4.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -42,7 +42,7 @@ def _by_suffix(word: str, rules: dict[str, str]) -> str:
     return word
 
 
-@lru_cache(100_000)
+@memo(100_000)
 def porter(word: str) -> str:
     """The stem of a lower-case word; words of one or two letters stay."""
     if len(word) <= 2 or not word.isalpha() or not word.isascii():
