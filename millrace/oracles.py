@@ -207,7 +207,7 @@ a AS (SELECT *, row_number() OVER (PARTITION BY domain, root ORDER BY rank DESC,
     tags = """WITH tags AS (SELECT row_key, url, unnest(regexp_extract_all(page, '(?is)(<a\\s+[^>]*href\\s*=[^>]*>.*?</a>)', 1)) AS tag FROM pt_crawl WHERE page IS NOT NULL AND url IS NOT NULL),
 raws AS (SELECT row_key, url, regexp_extract(tag, '(?i)<a\\s+[^>]*href\\s*=\\s*[''"]?([^''"\\s>]+)[''"\\s>]', 1) AS raw, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM tags)"""
     o["graph_anchor_text"] = tags + _normal("raw", "url", "raws", "row_key, text") + f", f AS (SELECT DISTINCT row_key, full_link, text FROM norm WHERE text <> '') SELECT {_hash('full_link')} AS dst, row_key AS src, string_agg(text, '<br>' ORDER BY text) AS text FROM f GROUP BY full_link, row_key"
-    o["graph_pagerank"] = _rank_rounds(4) + " SELECT row_key, round(rank, 6) AS rank FROM r4"
+    o["graph_pagerank"] = _rank_rounds(4) + " SELECT row_key, round(rank + 1e-9::DOUBLE, 6) AS rank FROM r4"
     o["graph_pagerank_domain_penalty"] = (
         _rank_rounds(
             3,
@@ -216,7 +216,7 @@ raws AS (SELECT row_key, url, regexp_extract(tag, '(?i)<a\\s+[^>]*href\\s*=\\s*[
             " LEFT JOIN dom x ON e.src = x.row_key LEFT JOIN dom y ON e.dst = y.row_key WHERE e.src <> e.dst",
             "0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{0} WHERE row_key IN (SELECT row_key FROM idle)), 0) / (SELECT count(*) FROM nodes)",
         )
-        + " SELECT row_key, round(rank, 6) AS rank FROM r3"
+        + " SELECT row_key, round(rank + 1e-9::DOUBLE, 6) AS rank FROM r3"
     )
     o["graph_converged_share"] = _rank_rounds(1) + " SELECT round(avg(CASE WHEN abs(rank - prev) < 0.5 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS percent FROM r1"
     o["graph_rank_histogram"] = "SELECT floor(rank * 100) / 100 AS bin, count(*) AS pages FROM pt_pgrk WHERE rank IS NOT NULL GROUP BY 1"

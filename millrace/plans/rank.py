@@ -62,7 +62,7 @@ def pagerank(
         if sink_spread:
             base += decay * (ranks.join(idle, "row_key", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]) / n
         ranks = step(ranks.select("row_key", "rank"), e, decay, base)
-        if k % cut_every == 0:
+        if rounds is None or k % cut_every == 0:  # the stop rule reads every round
             ranks = cut(ranks)
         if rounds is None and ((got := converged_share(ranks, eps).first()[0]) is None or got >= percent):
             break

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import query_terms, sigmoid
 from millrace.operators.lookups import drop_then_best, with_rank
+from millrace.session import cut
 
 #: Weights of the final version: term frequencies, rank, title, phrase.
 WEIGHTS = {"tfidf": 1.0, "rank": 0.5, "title": 2.0, "phrase": 20.0}
@@ -155,10 +156,12 @@ def search(
     """
     words = query_terms(query)
     w = {k: v for k, v in (weights or WEIGHTS).items() if phrase or k != "phrase"}
-    own = index.where(F.col("word").isin(words))
+    if total is None:
+        total = index.agg(F.count_distinct("doc")).first()[0]
+    own = cut(index.where(F.col("word").isin(words)))  # read several times, and only the postings of the query's words
     found = having_all(own, words).select(F.col("doc").alias("url_hash"))
     best = drop_then_best(with_rank(found, ranks), drop, candidates).select(F.col("url_hash").alias("doc"), "rank")
-    tf = tfidf_scores(index, words, total)
+    tf = tfidf_scores(own, words, total)
     head = pages.groupBy("doc").agg(F.max(F.struct("title", "description", "url")).alias("_d")).select("doc", "_d.title", "_d.description", "_d.url")
     rows = best.join(tf, "doc").join(head, "doc", "left").withColumn("title_score", title_match(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), words))
     scores = {"tfidf": F.col("tfidf"), "rank": F.col("rank"), "title": F.col("title_score")}
