@@ -88,3 +88,14 @@ def wildcard_regex(pattern: Column) -> Column:
 def short_id(n: Column, letters: int = 5) -> Column:
     """A number as letters, the least significant first, base 26."""
     return F.array_join(F.array(*[F.chr(97 + (F.floor(n / 26**i) % 26).cast("int")) for i in range(letters)]), "")
+
+
+def depth_drop_share(url: Column) -> Column:
+    """The share of links as deep as this one that a thinned crawl drops: logistic in the number of path segments, a half at eight."""
+    depth = F.size(F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != ""))
+    return 1 / (1 + F.exp(-0.5 * (depth - 8)))
+
+
+def thinned(url: Column, seed: int = 0) -> Column:
+    """Whether a link stays, by a seeded hash of it against its share."""
+    return F.pmod(F.xxhash64(url, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 >= depth_drop_share(url)

@@ -72,7 +72,12 @@ r{k} AS (SELECT r.row_key, {base.format(k - 1)} + coalesce(i.s, 0) AS rank, r.ra
 _TITLE_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', {0}, {1})), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
-def _score(phrase: bool, weights: tuple[float, ...]) -> str:
+_DIVERSE = f"""d1 AS (SELECT c.doc, c.rank, m.u AS url, {_TOP.format('m.u')} AS domain, regexp_extract(m.u, '^[^?#]*', 0) AS root FROM all_cand c JOIN heads ON c.doc = heads.doc WHERE m.u IS NOT NULL),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY domain, root ORDER BY rank DESC, url) AS n FROM d1), d3 AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rank DESC, url) AS k FROM d2 WHERE n = 1),
+cand AS (SELECT doc, rank FROM d3 WHERE k <= 2 ORDER BY rank DESC, url LIMIT 30)"""
+
+
+def _score(phrase: bool, weights: tuple[float, ...], diverse: bool = False) -> str:
     """The candidates with their scores, as the table ``scored``."""
     total = sum(weights)
     names = ("phrase", "rank", "tfidf", "title") if phrase else ("rank", "tfidf", "title")
@@ -83,10 +88,10 @@ def _score(phrase: bool, weights: tuple[float, ...]) -> str:
         + _INDEX
         + _RANKS
         + f""", hits AS (SELECT doc FROM idx WHERE word IN ('library', 'harbour') GROUP BY doc HAVING count(*) = (SELECT count(DISTINCT word) FROM idx WHERE word IN ('library', 'harbour'))),
-cand AS (SELECT h.doc, coalesce(r.rank, 0) AS rank FROM hits h LEFT JOIN ranks r ON h.doc = r.url_hash ORDER BY rank DESC, h.doc LIMIT {100000 if phrase else 200}),
+heads AS (SELECT row_key AS doc, max({{'t': title, 'd': description, 'u': url}}) AS m FROM pt_processed GROUP BY row_key),
+all_cand AS (SELECT h.doc, coalesce(r.rank, 0) AS rank FROM hits h LEFT JOIN ranks r ON h.doc = r.url_hash), {_DIVERSE if diverse else f"cand AS (SELECT * FROM all_cand ORDER BY rank DESC, doc LIMIT {100000 if phrase else 200})"},
 q AS (SELECT word, log10((SELECT count(DISTINCT doc) FROM tok)::DOUBLE / count(DISTINCT doc)) AS q FROM idx WHERE word IN ('library', 'harbour') GROUP BY word),
 tf AS (SELECT doc, sum(q.q * idx.doc_tf) AS tfidf FROM idx JOIN q ON idx.word = q.word GROUP BY doc),
-heads AS (SELECT row_key AS doc, max({{'t': title, 'd': description, 'u': url}}) AS m FROM pt_processed GROUP BY row_key),
 phr AS (SELECT doc, 0.7 / (min(abs(p - q)) + 2) + 0.3 / (1 + CASE WHEN arg_min(p > q, (abs(p - q), least(p, q))) THEN 1 ELSE 0 END) AS phrase FROM (SELECT a.doc, unnest(a.positions) AS p, b.positions AS bp FROM idx a JOIN idx b ON a.doc = b.doc WHERE a.word = 'library' AND b.word = 'harbour') x, LATERAL (SELECT unnest(x.bp) AS q) y WHERE abs(p - q) <= 20 GROUP BY doc),
 parts AS (SELECT cand.doc, cand.rank, tf.tfidf, coalesce(phr.phrase, 0) AS phrase, {_TITLE_WORDS.format("coalesce(heads.m.t, '')", "coalesce(heads.m.d, '')")} AS tw FROM cand JOIN tf ON cand.doc = tf.doc LEFT JOIN heads ON cand.doc = heads.doc LEFT JOIN phr ON phr.doc = cand.doc),
 titled AS (SELECT *, CASE WHEN len(tw) = 0 THEN 0 ELSE len(list_intersect(tw, ['library', 'harbour'])) / len(tw) END AS title_score FROM parts),
@@ -156,6 +161,8 @@ nullif(lower(regexp_extract(page, '(?i)<html[^>]*\\slang="([^"]*)"', 1)), '') AS
     o["url_normalize_links"] = anchors + _normal("raw", "url", "anchors", "row_key, url") + " SELECT DISTINCT row_key, url, full_link AS link FROM norm"
     o["url_listed_links"] = _LISTED + f" SELECT DISTINCT row_key, url, full_link AS link FROM norm WHERE NOT {_UNWANTED.format('full_link')}"
     o["url_site_counts"] = f"SELECT {_TOP.format('url')} AS domain, count(DISTINCT row_key) AS pages FROM pt_crawl WHERE url IS NOT NULL GROUP BY 1"
+    depth = "len(list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> ''))"
+    o["url_depth"] = f"SELECT url, round(1 / (1 + exp(-0.5::DOUBLE * ({depth} - 8))), 6) AS share FROM (SELECT DISTINCT url FROM pt_crawl)"
     black = "NOT regexp_matches({0}, '^.*pelucott.*$') AND NOT regexp_matches({0}, '^https://www\\..*\\.test.*$')"
     o["url_blacklist"] = f"SELECT url FROM (SELECT DISTINCT url FROM pt_crawl) WHERE {black.format('url')}"
     p = _TOK + ", post AS (SELECT word, doc, count(*) AS freq, min(pos) AS first_pos, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM tok GROUP BY word, doc)"
@@ -176,6 +183,8 @@ SELECT word, count(DISTINCT doc) AS docs, count(*) AS occurrences FROM l WHERE w
     ids = "WITH k AS (SELECT DISTINCT row_key AS key FROM pt_crawl WHERE row_key IS NOT NULL), n AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS number FROM k), ids AS (SELECT key, number, " + " || ".join(f"chr(CAST(97 + (number // {26**i}) % 26 AS INTEGER))" for i in range(5)) + " AS id FROM n)"
     o["id_dictionary"] = ids + " SELECT key, number, id FROM ids"
     o["idx_top_pages"] = "WITH heads AS (SELECT DISTINCT row_key, title FROM pt_processed), " + _tokens("heads", "row_key", "title") + _RANKS + ", wd AS (SELECT DISTINCT word, doc FROM tok), t AS (SELECT word, doc, row_number() OVER (PARTITION BY word ORDER BY rank DESC, doc) AS n FROM wd JOIN ranks ON doc = url_hash) SELECT word, CAST(n - 1 AS INTEGER) AS place, doc FROM t WHERE n <= 20"
+    norm_all = anchors + _normal("raw", "url", "anchors", "row_key, url") + ", nl AS (SELECT row_key, string_agg(DISTINCT full_link, chr(10) ORDER BY full_link) AS links FROM norm GROUP BY row_key)"
+    o["idx_processed_table"] = norm_all + ", m AS (" + o["text_metadata"] + ") SELECT DISTINCT m.row_key, c.url, m.title, m.description, nl.links FROM m JOIN pt_crawl c ON c.row_key = m.row_key AND c.page IS NOT NULL LEFT JOIN nl ON nl.row_key = m.row_key WHERE m.row_key NOT IN (SELECT row_key FROM pt_processed)"
     o["page_canonical"] = "WITH c AS (SELECT sha1(page) AS h, min({'u': url, 'k': row_key}) AS m FROM pt_crawl WHERE page IS NOT NULL GROUP BY 1) SELECT DISTINCT p.row_key, c.m.k AS canonical FROM pt_crawl p JOIN c ON sha1(p.page) = c.h WHERE p.page IS NOT NULL"
     plain = _TOK + _INDEX
     o["search_keyword"] = plain + " SELECT doc, CAST(least(tf, 19) AS INTEGER) AS hits, positions[1] AS first FROM idx WHERE word = 'library'"
@@ -190,6 +199,9 @@ SELECT word, count(DISTINCT doc) AS docs, count(*) AS occurrences FROM l WHERE w
     o["search_snippet"] = "WITH " + _PAGES + r" SELECT row_key, list_aggregate(regexp_split_to_array(text, '\s+')[1:12], 'string_agg', ' ') AS snippet FROM pages"
     o["search_v1"] = _score(True, (0.3, 0.1, 0.4, 0.2)) + " SELECT doc, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc LIMIT 10"
     o["search_combined"] = _score(False, (0.5, 1.0, 2.0)) + " SELECT doc, round(score, 6) AS score, round(tfidf, 6) AS tfidf, round(title_score, 6) AS title_score FROM scored ORDER BY scored.score DESC, doc LIMIT 10"
+    o["search_v4"] = _score(True, (0.3, 0.14, 0.4, 0.16), True) + " SELECT doc, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc LIMIT 10"
+    o["search_snapshot"] = "SELECT url, arg_max(page, (fetched_at, page)) AS page FROM pt_crawl WHERE page IS NOT NULL AND url = (SELECT min(url) FROM pt_crawl WHERE page IS NOT NULL) GROUP BY url"
+    o["search_key_page"] = "SELECT DISTINCT row_key FROM pt_crawl ORDER BY row_key LIMIT 10 OFFSET 20"
     o["search_rank_sorted"] = _SERVED + _RANKS + ", h AS (SELECT DISTINCT doc AS url_hash FROM tok WHERE word = 'library') SELECT h.url_hash, round(coalesce(rank, 0), 6) AS rank FROM h LEFT JOIN ranks r ON h.url_hash = r.url_hash ORDER BY coalesce(r.rank, 0) DESC, h.url_hash LIMIT 50"
     o["search_diverse_topk"] = f"""WITH u AS (SELECT row_key AS url_hash, min(url) AS url FROM pt_crawl GROUP BY row_key){_RANKS}, x AS (SELECT url, rank, {_TOP.format('url')} AS domain, regexp_extract(url, '^[^?#]*', 0) AS root FROM u JOIN ranks r ON u.url_hash = r.url_hash),
 a AS (SELECT *, row_number() OVER (PARTITION BY domain, root ORDER BY rank DESC, url) AS n FROM x), b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rank DESC, url) AS m FROM a WHERE n = 1) SELECT url, domain FROM b WHERE m <= 2 ORDER BY rank DESC, url LIMIT 30"""
@@ -218,6 +230,11 @@ raws AS (SELECT row_key, url, regexp_extract(tag, '(?i)<a\\s+[^>]*href\\s*=\\s*[
         )
         + " SELECT row_key, round(rank + 1e-9::DOUBLE, 6) AS rank FROM r3"
     )
+    sources = "(SELECT row_key FROM nodes WHERE row_key NOT IN (SELECT dst FROM edges))"
+    o["graph_pagerank_without_sources"] = (
+        _rank_rounds(2, base=f"0.15 + 0.85 * 0.85 * (SELECT count(*) FROM {sources})").replace("r0 AS (SELECT row_key, 1.0::DOUBLE AS rank FROM nodes)", f"r0 AS (SELECT row_key, 1.0::DOUBLE AS rank FROM nodes WHERE row_key NOT IN {sources})")
+        + " SELECT row_key, round(rank + 1e-9::DOUBLE, 6) AS rank FROM r2"
+    )
     o["graph_converged_share"] = _rank_rounds(1) + " SELECT round(avg(CASE WHEN abs(rank - prev) < 0.5 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS percent FROM r1"
     o["graph_rank_histogram"] = "SELECT floor(rank * 100) / 100 AS bin, count(*) AS pages FROM pt_pgrk WHERE rank IS NOT NULL GROUP BY 1"
     o["graph_join_ranks"] = "WITH k AS (SELECT DISTINCT row_key AS url_hash FROM pt_crawl)" + _RANKS + " SELECT k.url_hash, coalesce(r.rank, 0) AS rank FROM k LEFT JOIN ranks r ON k.url_hash = r.url_hash"
@@ -230,6 +247,7 @@ raws AS (SELECT row_key, url, regexp_extract(tag, '(?i)<a\\s+[^>]*href\\s*=\\s*[
     grams = _TOK + ", g AS (SELECT doc, word, lead(word, 1) OVER w AS b, lead(word, 2) OVER w AS c FROM tok WINDOW w AS (PARTITION BY doc ORDER BY pos))"
     o["ngram_next"] = grams + " SELECT word || ' ' || b AS gram, c AS next, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY 1, 2"
     o["ngram_followers"] = grams + " SELECT DISTINCT b AS next FROM g WHERE word = 'library' AND b IS NOT NULL"
+    o["suggest_letters"] = _TOK + " SELECT substr(word, 3, 1) AS next, count(*) AS n FROM (SELECT DISTINCT word FROM tok WHERE starts_with(word, 'li') AND length(word) > 2) GROUP BY 1"
     o["letter_next"] = _TOK + ", v AS (SELECT DISTINCT word FROM tok WHERE length(word) > 2), x AS (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM v) SELECT substr(word, i, 2) AS gram, substr(word, i + 2, 1) AS next, count(*) AS n FROM x GROUP BY 1, 2"
     o["crawl_frontier_step"] = (
         _LISTED

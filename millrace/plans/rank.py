@@ -45,20 +45,25 @@ def converged_share(ranks: DataFrame, eps: float) -> DataFrame:
 
 
 def pagerank(
-    pages: DataFrame, edges: DataFrame, eps: float = 0.01, percent: float = 100.0, max_rounds: int = 100, decay: float = 0.85, sink_spread: bool = False, cut_every: int = 5, rounds: int | None = None, **weights
+    pages: DataFrame, edges: DataFrame, eps: float = 0.01, percent: float = 100.0, max_rounds: int = 100, decay: float = 0.85, sink_spread: bool = False, without_sources: bool = False, cut_every: int = 5, rounds: int | None = None, **weights
 ) -> DataFrame:
     """row_key, rank, from 1 for each page until ``percent`` of the pages change by less than ``eps``, or for exactly ``rounds``.
 
-    With ``sink_spread`` pages without links hand decay * rank / N to all. A page without links to it ends at 1 - decay. No pages give no ranks.
+    With ``without_sources`` only pages with inbound links have a rank, and every one of them gets decay squared for each page without. With ``sink_spread`` pages without links hand decay * rank / N to all. A page without links to it ends at 1 - decay. No pages give no ranks.
     """
     nodes = pages.where("row_key is not null").select("row_key").distinct()
+    lift = 0.0
+    if without_sources:
+        targets = edges.select(F.col("dst").alias("row_key")).distinct()
+        lift = decay * decay * nodes.join(targets, "row_key", "left_anti").count()
+        nodes = nodes.join(targets, "row_key", "left_semi")
     e = cut(weighted_edges(nodes, edges, decay, **weights))
     ranks = cut(nodes.withColumns({"rank": F.lit(1.0), "prev": F.lit(0.0)}))
     if sink_spread:
         n = max(1, ranks.count())
         idle = cut(nodes.join(edges.select(F.col("src").alias("row_key")).distinct(), "row_key", "left_anti"))
     for k in range(1, (rounds or max_rounds) + 1):
-        base = 1 - decay
+        base = 1 - decay + lift
         if sink_spread:
             base += decay * (ranks.join(idle, "row_key", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]) / n
         ranks = step(ranks.select("row_key", "rank"), e, decay, base)

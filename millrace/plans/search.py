@@ -10,11 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import query_terms, sigmoid
-from millrace.operators.lookups import drop_then_best, with_rank
+from millrace.operators.lookups import diverse_top, drop_then_best, with_rank
 from millrace.session import cut
 
 #: Weights of the final version: term frequencies, rank, title, phrase.
 WEIGHTS = {"tfidf": 1.0, "rank": 0.5, "title": 2.0, "phrase": 20.0}
+#: Weights of the earlier versions; the second is the first with paging, the fourth picks its candidates by domain, the fifth has no phrase score.
+VERSIONS = {
+    1: {"tfidf": 0.4, "rank": 0.1, "title": 0.2, "phrase": 0.3},
+    2: {"tfidf": 0.4, "rank": 0.1, "title": 0.2, "phrase": 0.3},
+    4: {"tfidf": 0.4, "rank": 0.14, "title": 0.16, "phrase": 0.3},
+    5: {"tfidf": 0.4, "rank": 0.14, "title": 0.16},
+    6: WEIGHTS,
+}
 SPAN_LIMIT = 20
 
 
@@ -148,11 +156,12 @@ def search(
     candidates: int = 200,
     total: float | None = None,
     phrase: bool = True,
+    diverse: bool = False,
 ) -> DataFrame:
     """The ranked page of results: doc, score, tfidf, rank, title_score, phrase, title, url, snippet.
 
     index: word, doc, positions, doc_tf; pages: doc, title, url, description, text; ranks: url_hash, rank. The candidates are cut by rank before anything costly is scored, and
-    details are joined to the page of results only.
+    texts are joined to the page of results only. With ``diverse`` the candidates are at most two pages of a domain, not the best by rank alone.
     """
     words = query_terms(query)
     w = {k: v for k, v in (weights or WEIGHTS).items() if phrase or k != "phrase"}
@@ -160,9 +169,14 @@ def search(
         total = index.agg(F.count_distinct("doc")).first()[0]
     own = cut(index.where(F.col("word").isin(words)))  # read several times, and only the postings of the query's words
     found = having_all(own, words).select(F.col("doc").alias("url_hash"))
-    best = drop_then_best(with_rank(found, ranks), drop, candidates).select(F.col("url_hash").alias("doc"), "rank")
-    tf = tfidf_scores(own, words, total)
     head = pages.groupBy("doc").agg(F.max(F.struct("title", "description", "url")).alias("_d")).select("doc", "_d.title", "_d.description", "_d.url")
+    ranked = with_rank(found, ranks)
+    if diverse:
+        named = ranked.withColumnRenamed("url_hash", "doc").join(head.select("doc", "url"), "doc").where("url is not null")
+        best = diverse_top(named, 2, candidates).select("doc", "rank")
+    else:
+        best = drop_then_best(ranked, drop, candidates).select(F.col("url_hash").alias("doc"), "rank")
+    tf = tfidf_scores(own, words, total)
     rows = best.join(tf, "doc").join(head, "doc", "left").withColumn("title_score", title_match(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), words))
     scores = {"tfidf": F.col("tfidf"), "rank": F.col("rank"), "title": F.col("title_score")}
     if phrase:

@@ -88,6 +88,12 @@ def next_letters(words: DataFrame, order: int = 2) -> DataFrame:
     return rows.select(F.substr("word", "_i", F.lit(order)).alias("gram"), F.substr("word", F.col("_i") + order, F.lit(1)).alias("next")).groupBy("gram", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def letters_after(words: DataFrame, prefix: str) -> DataFrame:
+    """Which letters can follow a prefix in the vocabulary, and in how many words."""
+    own = words.select("word").distinct().where(F.col("word").startswith(prefix) & (F.length("word") > len(prefix)))
+    return own.groupBy(F.substring("word", len(prefix) + 1, 1).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def random_text(table: DataFrame, start: str, length: int, seed: int = 0) -> str:
     """A seeded walk over transitions; one small query for each word."""
     rng = random.Random(seed)

@@ -330,6 +330,12 @@ def url_site_counts(spark, d):
     return G.site_counts(t(spark, d, "pt_crawl"))
 
 
+@query
+def url_depth(spark, d):
+    u = F.col("url")
+    return t(spark, d, "pt_crawl").select("url").distinct().select("url", F.round(U.depth_drop_share(u), 6).alias("share"))
+
+
 @query
 def url_blacklist(spark, d):
     patterns = spark.createDataFrame([(p,) for p in BLACKLIST], "pattern string")
@@ -529,8 +535,7 @@ def search_snippet(spark, d):
 @query
 def search_v1(spark, d):
     """The first version: other weights, no cut of the candidates that matters here."""
-    w = {"tfidf": 0.4, "rank": 0.1, "title": 0.2, "phrase": 0.3}
-    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), w, drop=100_000, candidates=100_000)
+    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[1], drop=100_000, candidates=100_000)
     return r.select("doc", F.round("score", 6).alias("score"))
 
 
@@ -547,6 +552,27 @@ def search_page(spark, d):
     return S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), offset=10, limit=10)
 
 
+@query
+def search_v4(spark, d):
+    """The fourth version: candidates of many domains."""
+    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[4], candidates=30, diverse=True)
+    return r.select("doc", F.round("score", 6).alias("score"))
+
+
+@query
+def search_snapshot(spark, d):
+    """The stored page of an address: of all rows of the first address in order, the latest."""
+    pages = t(spark, d, "pt_crawl").where("page is not null")
+    first = pages.agg(F.min("url")).first()[0]
+    return pages.where(F.col("url") == first).groupBy("url").agg(F.max(F.struct("fetched_at", "page")).alias("m")).select("url", F.col("m.page").alias("page"))
+
+
+@query
+def search_key_page(spark, d):
+    """The third page of ten keys."""
+    return L.page_of(t(spark, d, "pt_crawl").select("row_key").distinct(), [F.asc("row_key")], 20, 10)
+
+
 @query
 def search_rank_sorted(spark, d):
     found = S.having_all(served(spark, d), ["library"]).select(F.col("doc").alias("url_hash"))
@@ -647,6 +673,13 @@ def graph_pagerank_domain_penalty(spark, d):
     return r.select("row_key", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
+@query
+def graph_pagerank_without_sources(spark, d):
+    """Two rounds of the variant that ranks only pages with inbound links."""
+    r = R.pagerank(t(spark, d, "pt_crawl"), graph(spark, d), rounds=2, without_sources=True)
+    return r.select("row_key", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
+
+
 @query
 def graph_converged_share(spark, d):
     p = t(spark, d, "pt_crawl")
@@ -699,6 +732,11 @@ def ngram_followers(spark, d):
     return Q.followers(Q.transitions(tokens(spark, d), 1), "library")
 
 
+@query
+def suggest_letters(spark, d):
+    return Q.letters_after(Q.vocabulary(tokens(spark, d)), "li")
+
+
 @query
 def letter_next(spark, d):
     return Q.next_letters(Q.vocabulary(tokens(spark, d)), 2)
