@@ -23,6 +23,9 @@ SAMPLE_PAGES = 1500
 MAX_DEPTH = 10
 MIN_LEAF = 8
 
+#: What a headline adds to the prose, in words, where the main container is looked for, and what a word outside prose counts there.
+HEADLINE, OTHER = 40, 0.25
+
 # What elements and class names say about the role of what they hold.
 _FURNITURE = re.compile(r"(?:^|[.\s_-])(?:nav\w*|menu|crumb\w*|breadcrumb\w*|share\w*|social|author\w*|byline|meta|dateline|rail|side\w*|aside|related|recommend\w*|foot\w*|bottom|legal|print|small|copyright|consent|cookie\w*|banner|advert\w*|promo\w*|sponsor\w*|widget|toolbar|login|search)(?:$|[.\s_-])")
 _BODY = re.compile(r"(?:^|[.\s_-])(?:article|main|entry|content|post|story|body|text)(?:$|[.\s_-])")
@@ -33,7 +36,7 @@ _WIDE = re.compile("[぀-ヿ一-鿿]")
 
 FEATURES = (
     "words words_before words_after linked linked_before linked_after ends ends_before ends_after head item quote plain before_head after_head "
-    "same_hold hold_blocks hold_prose inside_main depth_to_main from_prose to_prose signs digits upper position rest in_title page_prose list_run hold_linked after_prose_share head_hold"
+    "same_hold hold_blocks hold_prose inside_main depth_to_main from_prose to_prose signs digits upper position rest in_title page_prose list_run hold_linked after_prose_share flat"
 ).split()
 
 
@@ -68,11 +71,10 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
         count[b.path] = count.get(b.path, 0) + 1
         links[b.path] = links.get(b.path, 0) + l
     total = float(prose.sum())
-    if total:
-        main = max(by_hold, key=lambda h: by_hold[h])
-    else:
-        heads = [b.path for b in blocks if b.tag == "h1"]
-        main = heads[0] if heads else max(count, key=lambda h: count[h])
+    score = dict(by_hold)
+    for b, v in zip(blocks, words):
+        score[b.path] += HEADLINE * (b.tag == "h1") + OTHER * float(v)
+    main = max(score, key=lambda h: score[h])
     depth = main.count("/") + (1 if main else 0)
     head = next((k for k, b in enumerate(blocks) if b.tag == "h1"), -1)
     where = np.flatnonzero(prose > 0)
@@ -97,7 +99,7 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
             b.path.startswith(main), own - depth, min(near, 20), min(int(after[0]) - k, 20) if len(after) else 30,
             len(_LIST_SIGN.findall(text)), sum(c.isdigit() for c in text) / (len(text) or 1), sum(c.isupper() for c in text) / letters, k / n, n - k,
             len(key) > 5 and bool(title) and (key in title or title in key), total, run, links[b.path] / count[b.path], seen[k] / total if total else 0,
-            head >= 0 and b.path == blocks[head].path,
+            len(count) == 1,
         )
     return x
 
@@ -105,8 +107,9 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
 class Tree:
     """A binary decision tree by Gini impurity over numeric features."""
 
-    def __init__(self, depth: int = MAX_DEPTH, leaf: int = MIN_LEAF):
-        self.depth, self.leaf = depth, leaf
+    def __init__(self, depth: int = MAX_DEPTH, leaf: int = MIN_LEAF, first: int = -1):
+        """``first``: a 0/1 feature that the root splits on, whatever its gain."""
+        self.depth, self.leaf, self.first = depth, leaf, first
         self.nodes: list[tuple[int, float, int, int, float]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Tree:
@@ -121,6 +124,8 @@ class Tree:
         if level >= self.depth or len(y) < 2 * self.leaf or p in (0.0, 1.0):
             return at
         best, feature, cut = 1e-9, -1, 0.0
+        if level == 0 and self.first >= 0 and len(np.unique(x[:, self.first])) == 2:
+            best, feature, cut = np.inf, self.first, 0.5
         parent = p * (1 - p)
         for f in range(x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
@@ -158,7 +163,10 @@ class Tree:
 
 
 def labelled(pages: list[tuple[str | None, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of (title, page) whose holding element says its role; of pages that have both roles."""
+    """Features and labels of the blocks of (title, page) whose holding element says its role; of pages that have both roles.
+
+    Every page counts twice, the second time without its holding elements, so that the tree also learns what to do with flat pages and bare lines.
+    """
     xs, ys = [], []
     for title, page in pages:
         blocks = visible(page)
@@ -167,8 +175,9 @@ def labelled(pages: list[tuple[str | None, str]]) -> tuple[np.ndarray, np.ndarra
             continue
         x = features_of(blocks, title or "")
         keep = [k for k, v in enumerate(y) if v is not None]
-        xs.append(x[keep])
-        ys.append(np.array([y[k] for k in keep]))
+        bare = features_of([b._replace(hold="", path="") for b in blocks], title or "")
+        xs += [x[keep], bare[keep]]
+        ys += [np.array([y[k] for k in keep])] * 2
     if not xs:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
     return np.concatenate(xs), np.concatenate(ys)
@@ -182,7 +191,7 @@ def fit_tree(crawl: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Tree | None:
     """The tree, grown on the driver from about ``sample_pages`` pages; none if they label nothing."""
     rows = hash_sample(crawl.where("page is not null and row_key is not null").select("row_key", "title", "page"), "row_key", sample_pages).collect()  # at most twice sample_pages
     x, y = labelled([(r["title"], r["page"]) for r in rows])
-    return Tree().fit(x, y) if len(y) else None
+    return Tree(first=FEATURES.index("flat")).fit(x, y) if len(y) else None
 
 
 def _lines_of(text: str, page: str | None, title: str | None, tree: Tree | None) -> np.ndarray:

@@ -24,7 +24,7 @@ class Block(NamedTuple):
     tag: str
     words: int
     linked: int
-    hold: str  # innermost holding element and its class, as "tag.class"
+    hold: str  # innermost holding element and its class, as "tag.class"; a div that has neither class nor id holds nothing of its own
     path: str  # all of them, outermost first
     level: int
 
@@ -45,7 +45,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                names = [c for _, c in holds]
+                names = [c for _, c in holds if c]
                 out.append(Block(text, tag, len(text.split()), len(_SPACES.sub(" ", html.unescape(" ".join(linked))).split()) if linked else 0, names[-1] if names else "", "/".join(names), level))
             parts, linked = [], []
 
@@ -74,7 +74,7 @@ def blocks_of(page: str) -> list[Block]:
                             break
                 else:
                     c = _CLASS.search(m.group(4))
-                    holds.append((name, f"{name}.{c.group(1).lower()}" if c else name))
+                    holds.append((name, f"{name}.{c.group(1).lower()}" if c else "" if name == "div" else name))
                 tag = "" if closing else name
             else:
                 tag = "" if closing else name
