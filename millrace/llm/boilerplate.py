@@ -99,7 +99,7 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
             b.path.startswith(main), own - depth, min(near, 20), min(int(after[0]) - k, 20) if len(after) else 30,
             len(_LIST_SIGN.findall(text)), sum(c.isdigit() for c in text) / (len(text) or 1), sum(c.isupper() for c in text) / letters, k / n, n - k,
             len(key) > 5 and bool(title) and (key in title or title in key), total, run, links[b.path] / count[b.path], seen[k] / total if total else 0,
-            len(count) == 1,
+            len(count) == 1 and "" in count,
         )
     return x
 
