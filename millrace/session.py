@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,29 +31,30 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (a single machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for lineage cuts: the one ``spark.checkpoint.dir`` names, a temporary one only where that is absent (a single machine)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="millrace-"))
+        if not given:
+            given = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(given)
+    return jsc.getCheckpointDir().get()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame as a table in the shared checkpoint folder and read it back: a compact lineage cut for wide intermediate results.
+    """Write a frame as a table in the shared folder and read it back: a compact lineage cut for wide intermediate results.
 
     Needed where several branches read the costly result of one pass: filters are pushed below a repartition, so Spark would not share it.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="millrace-"))
-    path = f"{jsc.getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
