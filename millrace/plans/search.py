@@ -24,6 +24,8 @@ VERSIONS = {
     6: WEIGHTS,
 }
 SPAN_LIMIT = 20
+#: Up to this many candidates travel as a broadcast list of keys.
+BROADCAST_CANDIDATES = 10_000
 
 
 def keyword(postings: DataFrame, word: str) -> DataFrame:
@@ -144,6 +146,11 @@ def snippet(text: Column, positions: Column, length: int = 60) -> Column:
     return F.array_join(F.transform(part, mark), " ")
 
 
+def _heads(pages: DataFrame) -> DataFrame:
+    """One title, description and url for each document."""
+    return pages.groupBy("doc").agg(F.max(F.struct("title", "description", "url")).alias("_d")).select("doc", "_d.title", "_d.description", "_d.url")
+
+
 def search(
     query: str,
     index: DataFrame,
@@ -160,32 +167,32 @@ def search(
 ) -> DataFrame:
     """The ranked page of results: doc, score, tfidf, rank, title_score, phrase, title, url, snippet.
 
-    index: word, doc, positions, doc_tf; pages: doc, title, url, description, text; ranks: url_hash, rank. The candidates are cut by rank before anything costly is scored, and
-    texts are joined to the page of results only. With ``diverse`` the candidates are at most two pages of a domain, not the best by rank alone.
+    index: word, doc, positions, doc_tf; pages: doc, title, url, description, text; ranks: url_hash, rank. The candidates are cut by rank before anything is scored; postings and
+    titles are read for them alone, texts for the page of results alone (``limit`` rows). With ``diverse`` the candidates are at most two pages of a domain, not the best by rank alone.
     """
     words = query_terms(query)
     w = {k: v for k, v in (weights or WEIGHTS).items() if phrase or k != "phrase"}
     if total is None:
         total = index.agg(F.count_distinct("doc")).first()[0]
     own = cut(index.where(F.col("word").isin(words)))  # read several times, and only the postings of the query's words
-    found = having_all(own, words).select(F.col("doc").alias("url_hash"))
-    head = pages.groupBy("doc").agg(F.max(F.struct("title", "description", "url")).alias("_d")).select("doc", "_d.title", "_d.description", "_d.url")
-    ranked = with_rank(found, ranks)
+    ranked = with_rank(having_all(own, words).select(F.col("doc").alias("url_hash")), ranks)
     if diverse:
-        named = ranked.withColumnRenamed("url_hash", "doc").join(head.select("doc", "url"), "doc").where("url is not null")
+        named = ranked.withColumnRenamed("url_hash", "doc").join(_heads(pages).select("doc", "url"), "doc").where("url is not null")
         best = diverse_top(named, 2, candidates).select("doc", "rank")
     else:
         best = drop_then_best(ranked, drop, candidates).select(F.col("url_hash").alias("doc"), "rank")
-    tf = tfidf_scores(own, words, total)
-    rows = best.join(tf, "doc").join(head, "doc", "left").withColumn("title_score", title_match(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), words))
+    best = cut(best)
+    among = lambda rows, few: rows.join(F.broadcast(few.select("doc")) if candidates <= BROADCAST_CANDIDATES else few.select("doc"), "doc", "left_semi")
+    tf = among(own, best).join(F.broadcast(query_weights(own, words, total)), "word").groupBy("doc").agg(F.sum(F.col("q") * F.col("doc_tf")).alias("tfidf"))  # a row for each word of the query
+    rows = best.join(tf, "doc").join(_heads(among(pages, best)), "doc", "left").withColumn("title_score", title_match(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), words))
     scores = {"tfidf": F.col("tfidf"), "rank": F.col("rank"), "title": F.col("title_score")}
     if phrase:
-        rows = rows.join(phrase_scores(own, words).select("doc", "best", "phrase"), "doc", "left").withColumns({"phrase": F.coalesce("phrase", F.lit(0.0)), "best": F.coalesce("best", F.array().cast("array<int>"))})
+        rows = rows.join(phrase_scores(among(own, best), words).select("doc", "best", "phrase"), "doc", "left").withColumns({"phrase": F.coalesce("phrase", F.lit(0.0)), "best": F.coalesce("best", F.array().cast("array<int>"))})
         scores["phrase"] = F.col("phrase")
     else:
         rows = rows.withColumns({"phrase": F.lit(0.0), "best": F.array().cast("array<int>")})
-    top = rows.withColumn("score", combined(scores, w)).orderBy(F.desc("score"), "doc").offset(offset).limit(limit)
-    texts = pages.groupBy("doc").agg(F.max("text").alias("text"))
+    top = cut(rows.withColumn("score", combined(scores, w)).orderBy(F.desc("score"), "doc").offset(offset).limit(limit))
+    texts = pages.join(F.broadcast(top.select("doc")), "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text"))
     done = top.join(texts, "doc", "left")
     return done.select("doc", "score", "tfidf", "rank", "title_score", "phrase", "title", "url", snippet(F.coalesce("text", F.lit("")), F.col("best")).alias("snippet")).orderBy(F.desc("score"), "doc")
 
