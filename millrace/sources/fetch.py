@@ -62,7 +62,7 @@ class HttpFetcher:
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
     """The trimmed lines of a text file that aren't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("url")).where("url <> ''")
 
 
 def processed_keys_sink(rows: DataFrame, path: str, key: str = "row_key") -> None:
