@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import hash_sample
+from millrace.llm.common import hash_sample, map_texts
 from millrace.llm.pages import Block, blocks_of
 
 #: Pages whose labelled blocks the tree is grown on, chosen by a hash of their key.
@@ -268,10 +268,10 @@ def furniture_lines(processed: DataFrame, crawl: DataFrame, sample_pages: int =
     count once.
     """
     tree = fit_tree(crawl, sample_pages)
-    return _joined(processed, crawl).mapInPandas(_classify(tree, False), "row_key string, line_no int").distinct()
+    return map_texts(_joined(processed, crawl), _classify(tree, False), "row_key string, line_no int").distinct()
 
 
 def main_text(processed: DataFrame, crawl: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """row_key, main_text: each processed text reduced to its main body."""
     tree = fit_tree(crawl, sample_pages)
-    return _joined(processed, crawl).mapInPandas(_classify(tree, True), "row_key string, main_text string").distinct()
+    return map_texts(_joined(processed, crawl), _classify(tree, True), "row_key string, main_text string").distinct()

@@ -41,6 +41,19 @@ def with_site(processed: DataFrame, crawl: DataFrame, keep: list[str]) -> DataFr
     return own.unionByName(lost)
 
 
+#: Most texts or pages that a Python worker holds at once.
+TEXT_BATCH = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` for rows with whole texts or pages: the session's Arrow batches are lowered to ``TEXT_BATCH`` rows where they are larger, since Spark bounds them by rows, not bytes."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= TEXT_BATCH:
+        conf.set(_BATCH, str(TEXT_BATCH))
+    return rows.mapInPandas(function, schema)
+
+
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows, at most twice as many, chosen by a hash of ``key``. The rows are counted first, so only the sample itself leaves the executors."""
     share = min(1.0, n / max(1, rows.count()))

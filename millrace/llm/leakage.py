@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import map_texts
 SPAN = 10
 #: 1 marks a position that counts. Each mask starts and ends on one; together they tolerate any single substitution inside a span.
 MASKS = ("1110111011", "1101101111", "1011110111")
@@ -225,8 +226,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_overlap: int = SPAN
     size = tests.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.length("text") / 2)), F.lit(0))).first()[0]
     if size <= broadcast_words:
         rows = [(r["item_id"], r["text"]) for r in tests.collect()]  # bounded by broadcast_words
-        return docs.mapInPandas(_scan(rows, min_overlap), OUT).distinct()
+        return map_texts(docs, _scan(rows, min_overlap), OUT).distinct()
     seeds = tests.mapInPandas(_windows("item_id"), "item_id bigint, seed bigint")
-    hits = docs.mapInPandas(_windows("doc_id"), "doc_id bigint, seed bigint").join(seeds, "seed").select("doc_id", "item_id").distinct()
+    hits = map_texts(docs, _windows("doc_id"), "doc_id bigint, seed bigint").join(seeds, "seed").select("doc_id", "item_id").distinct()
     pairs = hits.join(docs, "doc_id").join(tests.withColumnRenamed("text", "passage"), "item_id")
-    return pairs.select("doc_id", "text", "item_id", "passage").mapInPandas(_verify(min_overlap), OUT).distinct()
+    return map_texts(pairs.select("doc_id", "text", "item_id", "passage"), _verify(min_overlap), OUT).distinct()

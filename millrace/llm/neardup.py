@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import map_texts
 from millrace.session import cut
 
 N = 9
@@ -149,7 +150,7 @@ def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame
     if threshold < 0.5:
         raise ValueError("the blocks are laid out for similarities of 0.5 and above")
     docs = texts.select("row_key", "text").where("row_key is not null and text is not null")
-    indexed = cut(docs.mapInPandas(_index, "row_key string, a bigint, b bigint, s1 bigint, s2 bigint, blocks array<bigint>"))
+    indexed = cut(map_texts(docs, _index, "row_key string, a bigint, b bigint, s1 bigint, s2 bigint, blocks array<bigint>"))
     members = indexed.select("row_key", "a", "b").distinct()
     blocks = (
         indexed.groupBy("a", "b")
@@ -172,12 +173,11 @@ def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame
     n = holders.count()
     small = F.broadcast(holders) if n <= BROADCAST_KEYS else holders
     found = docs.join(small, "row_key").groupBy("a", "b").agg(F.min("text").alias("text"))
-    links = (
+    texts_of = (
         pairs.join(found.select(F.col("a").alias("ax"), F.col("b").alias("bx"), F.col("text").alias("text_x")), ["ax", "bx"])
         .join(found.select(F.col("a").alias("ay"), F.col("b").alias("by"), F.col("text").alias("text_y")), ["ay", "by"])
-        .mapInPandas(_exact(threshold), "ax bigint, bx bigint, ay bigint, by bigint, similarity double")
     )
-    return members, links
+    return members, map_texts(texts_of, _exact(threshold), "ax bigint, bx bigint, ay bigint, by bigint, similarity double")
 
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
