@@ -27,7 +27,7 @@ ROWS = 4
 BLOCKS = SYMBOLS // ROWS
 #: Of 128 bits. At J = 0.5 a quarter differs, 32 with a deviation of 4.9.
 MAX_DISTANCE = 47
-#: Candidate texts up to this many travel as broadcast keys (16 bytes each); beyond it they are joined by shuffle.
+#: Candidate texts up to this many travel as broadcast keys (80 bytes each); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _OTHER = re.compile(r"[\W_]+")
@@ -114,6 +114,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "row_key": batch["row_key"].iloc[keep].to_numpy(),
+                "th": batch["th"].iloc[keep].to_numpy(),
                 "a": np.array(a, np.int64),
                 "b": np.array(b, np.int64),
                 "s1": np.array(s1, np.int64),
@@ -149,8 +150,8 @@ def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame
     """
     if threshold < 0.5:
         raise ValueError("the blocks are laid out for similarities of 0.5 and above")
-    docs = texts.select("row_key", "text").where("row_key is not null and text is not null")
-    indexed = cut(map_texts(docs, _index, "row_key string, a bigint, b bigint, s1 bigint, s2 bigint, blocks array<bigint>"))
+    docs = texts.where("row_key is not null and text is not null").select("row_key", "text", F.xxhash64("text").alias("th"))
+    indexed = cut(map_texts(docs, _index, "row_key string, th bigint, a bigint, b bigint, s1 bigint, s2 bigint, blocks array<bigint>"))
     members = indexed.select("row_key", "a", "b").distinct()
     blocks = (
         indexed.groupBy("a", "b")
@@ -168,11 +169,11 @@ def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame
         .distinct()
     )
     wanted = pairs.select(F.col("ax").alias("a"), F.col("bx").alias("b")).union(pairs.select("ay", "by")).distinct()
-    holders = indexed.groupBy("a", "b").agg(F.min("row_key").alias("row_key")).join(wanted, ["a", "b"])
-    holders = cut(holders)
+    holders = indexed.groupBy("a", "b").agg(F.min(F.struct("row_key", "th")).alias("_m")).join(wanted, ["a", "b"])
+    holders = cut(holders.select("a", "b", "_m.row_key", "_m.th"))
     n = holders.count()
     small = F.broadcast(holders) if n <= BROADCAST_KEYS else holders
-    found = docs.join(small, "row_key").groupBy("a", "b").agg(F.min("text").alias("text"))
+    found = docs.join(small, ["row_key", "th"]).groupBy("a", "b").agg(F.min("text").alias("text"))
     texts_of = (
         pairs.join(found.select(F.col("a").alias("ax"), F.col("b").alias("bx"), F.col("text").alias("text_x")), ["ax", "bx"])
         .join(found.select(F.col("a").alias("ay"), F.col("b").alias("by"), F.col("text").alias("text_y")), ["ay", "by"])

@@ -69,6 +69,12 @@ def test_one_copied_text_is_one_class(spark):
     assert N.similar_pairs(df).count() == 50 * 49 // 2
 
 
+def test_one_key_with_two_texts(spark):
+    a, b = "the first of the two texts stands under the same key as", "another one which is quite unlike it in every way, really"
+    df = spark.createDataFrame([("k", a, 0), ("k", b, 0), ("x", a + " x", 0), ("y", b + " y", 0)], SCHEMA)
+    assert pairs(N.similar_pairs(df)) == {("k", "x"), ("k", "y")}
+
+
 def test_empty_and_long(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert N.similar_pairs(empty).count() == 0 and N.near_duplicate_groups(empty).count() == 0
