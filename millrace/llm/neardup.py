@@ -28,7 +28,7 @@ BLOCKS = SYMBOLS // ROWS
 #: Of 128 bits. At J = 0.5 a quarter differs, 32 with a deviation of 4.9.
 MAX_DISTANCE = 47
 #: Candidate texts up to this many travel as broadcast keys (80 bytes each); beyond it they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 300_000
 
 _OTHER = re.compile(r"[\W_]+")
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, N - 1 - i, 1 << 64) for i in range(N)], dtype=np.uint64)
