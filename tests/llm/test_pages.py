@@ -113,3 +113,18 @@ def test_stuffed_pages(spark):
     got = {r["row_key"] for r in F.stuffed_pages(df).collect()}
     assert got == {f"{k}{i}" for k in ("list", "tags") for i in range(6)}
     assert F.stuffed_pages(df.limit(0)).count() == 0
+
+
+def test_mean_pmi_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(f"ok{i}", "u", *article(rng, f"s{i % 5}"), "", "") for i in range(60)]
+    prose = sorted({w for *_, page, _, _ in rows for b in blocks_of(page) for w in b.text.split() if w.isalpha()})
+    salad = f"<p>{' '.join(rng.choice(prose) for _ in range(300))}</p>"
+    short = "".join(f"<li>{rng.choice('abcdefg')}{i}x cheap{'abcdefgh'[i % 8] * (i % 5 + 1)} boots{'qrst'[i % 4] * (i % 7 + 1)}</li>" for i in range(9))
+    rows += [("salad", "u", "t", salad, "", ""), ("again", "u2", "t", salad, "", ""), ("short", "u", "t", f"<ul>{short}</ul>", "", "")]
+    got = {r["row_key"]: r for r in F.page_coherence(spark.createDataFrame(rows, CRAWL)).collect()}
+    usual = sorted(r["mean_pmi"] for k, r in got.items() if k[:2] == "ok")
+    assert {"salad", "again", "short"} <= set(got) and usual
+    assert got["salad"]["mean_pmi"] == got["again"]["mean_pmi"] < usual[0] / 2
+    assert got["salad"]["unsupported"] == got["again"]["unsupported"] > 0.5
+    assert {r["row_key"] for r in F.stuffed_pages(spark.createDataFrame(rows, CRAWL)).collect()} == {"salad", "again", "short"}
