@@ -128,3 +128,18 @@ def test_mean_pmi_of_all_pairs(spark):
     assert got["salad"]["mean_pmi"] == got["again"]["mean_pmi"] < usual[0] / 2
     assert got["salad"]["unsupported"] == got["again"]["unsupported"] > 0.5
     assert {r["row_key"] for r in F.stuffed_pages(spark.createDataFrame(rows, CRAWL)).collect()} == {"salad", "again", "short"}
+
+
+def test_garbled_pages_are_counted_mended(spark):
+    rng = random.Random(9)
+    letters = "абвгдежзиклмнопрстуфхцчшы"
+    words = ["".join(rng.choices(letters, k=6)) for _ in range(300)]
+    rows = [(f"ok{i}", "u", *article(rng, f"s{i % 5}"), "", "") for i in range(40)]
+    tags = ", ".join(rng.sample(words, 200))
+    common = "".join(f"<li>{a} {b}</li>" for a, b in zip(words[::2], words[1::2]))
+    garbled = lambda page: page.encode().decode("latin-1")
+    rows += [("garbled", "u", "t", garbled(f"<p>{tags}</p>"), "", ""), ("pairs", "u", "t", garbled(f"<ul>{common}</ul>"), "", ""), ("clean", "u", "t", f"<ul>{common}</ul><p>{words[0]}</p>", "", "")]
+    df = spark.createDataFrame(rows, CRAWL)
+    got = {r["row_key"]: r for r in F.page_coherence(df).collect()}
+    assert got["garbled"]["unsupported"] > 0.9 and got["pairs"]["unsupported"] == 0 == got["clean"]["unsupported"]
+    assert "garbled" in {r["row_key"] for r in F.stuffed_pages(df).collect()}
