@@ -238,8 +238,9 @@ def _single_byte(text: str) -> tuple[str, str] | None:
     odd = list(dict.fromkeys(w.group() for w in _WORD.finditer(text) if _ODD.search(text[max(0, w.start() - 2) : w.end() + 2])))
     if not odd:
         return None
-    sample = odd[:200]
-    others = list(dict.fromkeys(w for w in _WORD.findall(text)[:2000] if w not in odd))[:100]
+    sample, strange = odd, set(odd)
+    others = list(dict.fromkeys(w for w in _WORD.findall(text) if w not in strange))
+    before = [_weight([w]) for w in others]
     had = _weight(sample)
     best, score = None, 0.0
     for wrong, right in _PAIRS:
@@ -254,7 +255,7 @@ def _single_byte(text: str) -> tuple[str, str] | None:
         if value < 0.55 * letters or value <= had:
             continue
         value -= 0.5 * (wrong in ("cp437", "cp866"))
-        value += 0.3 * sum((f := _through(w, wrong, right)) is not None and _weight([f]) > _weight([w]) for w in others)
+        value += 0.3 * sum((f := _through(w, wrong, right)) is not None and _weight([f]) > x for w, x in zip(others, before))
         if value > score:
             best, score = (wrong, right), value
     if not best:
@@ -285,6 +286,9 @@ def _level1(raw: bytes) -> bool:
     return sum(0xB0 <= b <= 0xD7 or b in (0xA1, 0xA3) for b in leads) >= 0.9 * len(leads) and any(b >= 0xB0 for b in leads)
 
 
+_HAN = re.compile("[一-鿾]")
+
+
 def _asian(text: str) -> tuple[str, str] | None:
     """Runs that are well-formed text of an East Asian encoding read byte by byte, or UTF-8 read in one."""
     how: list[str] = []
@@ -349,7 +353,7 @@ def _asian(text: str) -> tuple[str, str] | None:
                 return got
         return run
 
-    if any("一" <= c < "鿿" for c in out[:20000]) or "窶" in out or "縺" in out:
+    if _HAN.search(out):
         out = _RUNS.sub(back, out)
     return (how[0], out) if how else None
 

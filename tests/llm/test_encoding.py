@@ -70,3 +70,11 @@ def test_table(spark):
     back = E.restored_crawl(df).collect()
     assert {r["title"] for r in back} == {"Mühle", None, "ét", "ok"} and back[0].__fields__ == df.columns
     assert E.garbled_fields(df.limit(0)).count() == 0
+
+
+def test_passages_far_down_a_page():
+    from millrace.llm.encoding import repair
+
+    garbled = "机器学习模型在数据上进行训练".encode().decode("gb18030", "ignore")
+    got = repair("An ordinary sentence in plain words. " * 700 + garbled)
+    assert got is not None
