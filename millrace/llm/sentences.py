@@ -11,6 +11,7 @@ Every script has its own terminators; Thai has none and is cut at spaces between
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +37,7 @@ _FULL = frozenset("。！？｡")
 _TOKEN = re.compile(r"[.!?…]+|[。！？｡।॥؟۔]+|;|[“”„«»\"「」『』()（）\[\]【】‹›《》]|[ \t\r]*\n\s*|(?<=[฀-๿])[ \t]+(?=[฀-๿])")
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_][^\s\W]*[.\-’'])*[^\W_]+$")
 _GUILLEMET = re.compile(r"[\s\u00a0\u202f]»")
+_APART = re.compile(r"(?<!\w)'|'(?!\w)")
 _NEXT = re.compile(r"\s*([^\W_]+)?")
 _DOTTED = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.){0,3}[^\W\d_]{1,%d})\.(?=([ \t]*(?:\n|$))|[ \t]+(\S)|([,;:)]))" % MAX_ABBREVIATION)
 
@@ -145,7 +147,9 @@ class Splitter:
                     own.setdefault(w, False)
         newline = _Lines(text) if "\n" in text else None
         german = "ß" in text or " der " in text or " und " in text
-        greek = any("Ͱ" <= c <= "Ͽ" for c in text[:400]) if ";" in text else False
+        last_of = {c: text.rfind(c) for c in set(_OPEN.values())}
+        quotes = {'"': [m.start() for m in re.finditer('"', text)], "'": [m.start() for m in _APART.finditer(text)]}
+        paragraph = 0
         cuts: list[int] = []
         stack: list[tuple[str, int, bool]] = []  # what closes it, where it opened, whether it opened a sentence
         inner: list[int] = []  # cuts inside an open quotation, kept only if it stands alone
@@ -159,6 +163,7 @@ class Splitter:
             c = s[0]
             if "\n" in s:
                 if newline.breaks(m):
+                    paragraph = b
                     e = len(text[start:a].rstrip()) + start
                     if stack:  # never closed
                         cuts.extend(x for x in inner if start < x < e)
@@ -181,7 +186,7 @@ class Splitter:
                     if done and prev and self._after_quote(text, b, n, alone, c):
                         if alone:
                             cuts.extend(x for x in inner if x < a)
-                        e = self._closers(text, b, n)
+                        e = self._closers(text, b, n, quotes, paragraph)
                         cuts.append(e)
                         start = skip = e
                     inner = []
@@ -191,13 +196,13 @@ class Splitter:
                 continue
             if c in _OPEN:
                 close = _OPEN[c]
-                if text.find(close, b, b + 20_000) >= 0 or (c == "“" and text.find('"', b, b + 200) >= 0):
+                if last_of[close] >= b or (c == "“" and text.find('"', b, b + 200) >= 0):
                     stack.append((close, a, not text[start:a].strip()))
                 continue
             if c in _CLOSE:
                 continue
             if c == ";":
-                if not greek or not ("Ͱ" <= text[a - 1 : a] <= "Ͽ" or "ἀ" <= text[a - 1 : a] <= "῿"):
+                if not ("Ͱ" <= text[a - 1 : a] <= "Ͽ" or "ἀ" <= text[a - 1 : a] <= "῿"):
                     continue
                 if b < n and not text[b].isspace() and text[b] not in _CLOSE:
                     continue
@@ -207,7 +212,7 @@ class Splitter:
                     if not (c == "." and len(s) == 1 and not self._ends(text, a, e, own, german)):
                         inner.append(e)
                 continue
-            e = self._closers(text, b, n)
+            e = self._closers(text, b, n, quotes, paragraph)
             if e < n:
                 here = text[e]
                 if c in "。！？｡":
@@ -240,11 +245,11 @@ class Splitter:
         return out
 
     @staticmethod
-    def _closers(text: str, at: int, n: int) -> int:
-        """Past closing quotes and brackets right after ``at``; a guillemet may follow a space."""
+    def _closers(text: str, at: int, n: int, quotes: dict[str, list[int]], paragraph: int) -> int:
+        """Past closing quotes and brackets right after ``at``; a guillemet may follow a space. ``quotes`` are the places of all straight quotes, apostrophes inside words left out."""
         while at < n and text[at] in _CLOSE and text[at] not in "“‘\"'":
             at += 1
-        if at < n and text[at] in "\"'" and (at + 1 == n or text[at + 1].isspace()) and text.count(text[at], max(0, at - 600), at) % 2:
+        if at < n and text[at] in "\"'" and (at + 1 == n or text[at + 1].isspace()) and (bisect_left(quotes[text[at]], at) - bisect_left(quotes[text[at]], paragraph)) % 2:
             at += 1
         m = re.compile(r"[   ]»").match(text, at)
         return m.end() if m else at

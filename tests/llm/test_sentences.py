@@ -67,3 +67,15 @@ def test_corpus_counts(spark):
     df = spark.createDataFrame([(i, "Mr. Bell saw it. The end.\nMr. Cole left the town.") for i in range(10)], "doc_id long, text string")
     words = {r["word"] for r in S.abbreviations(df).collect()}
     assert "mr" in words and "town" not in words and "end" not in words
+
+
+def test_no_windows():
+    ends = S.Splitter({}).ends
+    greek = "It was said. " * 40 + "Τι είναι αυτό; Δεν ξέρω."
+    assert len(ends(greek)) == 42
+    long = "“" + "He came home. " * 2_000 + "He left” and so it went on."
+    assert len(ends(long)) == 1
+    quoted = 'She said "we ' + "walked on and on " * 60 + 'today." Then it rained.'
+    assert [quoted[e - 2 : e] for e in ends(quoted)][0] == '."'
+    single = "It said 'we don't " + "walk on and on " * 60 + "today.' Then it rained."
+    assert [single[e - 2 : e] for e in ends(single)][0] == ".'"
