@@ -23,7 +23,7 @@ from millrace.llm.common import map_texts
 MAX_ABBREVIATION = 7
 #: How often a word with a dot must occur in the corpus before the corpus decides.
 MIN_SEEN = 12
-#: Most abbreviations that travel to the executors. Beyond it the least number of occurrences is raised until they fit.
+#: Most abbreviations that travel to the executors. Beyond it each document is joined with those of its own.
 MAX_TABLE = 200_000
 
 # Words after which a German day number with a dot is a date.
@@ -338,6 +338,29 @@ def _split(known: dict[str, bool]):
     return run
 
 
+def _looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words that a splitter may look up in each document: those before a dot."""
+    for batch in batches:
+        found = set()
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for m in re.finditer(r"\.", text):
+                before = _WORD_BEFORE.search(text, max(0, m.start() - 24), m.start())
+                if before:
+                    found.add((doc_id, re.split("[’']", before.group())[-1].lower()))
+        yield pd.DataFrame(list(found), columns=["doc_id", "word"]).astype({"doc_id": "int64"})
+
+
+def _split_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Like ``_split``, with the abbreviations of each document in its row."""
+    for batch in batches:
+        ids, ends = [], []
+        for doc_id, text, known in zip(batch["doc_id"], batch["text"], batch["known"]):
+            found = Splitter({w[1:]: w[0] == "1" for w in (known if known is not None else ())}).ends(text)
+            ids.extend([doc_id] * len(found))
+            ends.extend(found)
+        yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "end_pos": pd.Series(ends, dtype="int32")})
+
+
 def sentence_ends(documents: DataFrame, min_seen: int = MIN_SEEN, max_table: int = MAX_TABLE) -> DataFrame:
     """doc_id, end_pos of every sentence of every document. Null and blank texts have none; repeated rows count once.
 
@@ -345,11 +368,12 @@ def sentence_ends(documents: DataFrame, min_seen: int = MIN_SEEN, max_table: int
     """
     table = abbreviations(documents, min_seen)
     rows = table.limit(max_table + 1).collect()  # bounded by max_table
-    while len(rows) > max_table:
-        min_seen *= 4
-        rows = abbreviations(documents, min_seen).limit(max_table + 1).collect()
-    known = {r["word"]: bool(r["ends"] * 50 >= r["low"] + r["other"] + r["ends"]) for r in rows}
     docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if len(rows) > max_table:
+        flags = table.select("word", (F.col("ends") * 50 >= F.col("low") + F.col("other") + F.col("ends")).cast("int").cast("string").alias("flag"))
+        known_of = map_texts(docs, _looked_up, "doc_id bigint, word string").distinct().join(flags, "word").groupBy("doc_id").agg(F.collect_list(F.concat("flag", "word")).alias("known"))
+        return map_texts(docs.join(known_of, "doc_id", "left"), _split_each, "doc_id bigint, end_pos int").distinct()
+    known = {r["word"]: bool(r["ends"] * 50 >= r["low"] + r["other"] + r["ends"]) for r in rows}
     return map_texts(docs, _split(known), "doc_id bigint, end_pos int").distinct()
 
 

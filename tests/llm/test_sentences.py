@@ -79,3 +79,10 @@ def test_no_windows():
     assert [quoted[e - 2 : e] for e in ends(quoted)][0] == '."'
     single = "It said 'we don't " + "walk on and on " * 60 + "today.' Then it rained."
     assert [single[e - 2 : e] for e in ends(single)][0] == ".'"
+
+
+def test_abbreviations_beyond_the_bound(spark):
+    rows = [(i, "Mr. Bell of Abt. Nine saw it. The end.\nMr. Cole left Abt. Two and the town.") for i in range(15)] + [(99, "No dots here"), (98, "D’Mr. Bell went. Then home.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, joined = (sorted(map(tuple, S.sentence_ends(df, max_table=n).collect())) for n in (200_000, 1))
+    assert whole == joined and len(whole) < 15 * 5 + 5
