@@ -1,10 +1,8 @@
 """Sentence units for every document, whatever its script.
 
-Which dots are abbreviations is settled from the document itself first: a short word with a dot before a lower-case word
-elsewhere in the same document is an abbreviation there, one that also stands without a dot is an ordinary word. Where the document
-is silent, the corpus decides: over all documents it is counted how often each short word with a dot is followed by a
-lower-case letter or a comma, by another word, or ends a paragraph; a word that never ends a paragraph cannot end a sentence. A capitalised word
-after an abbreviation that can end a sentence starts a new one, unless the document shows it to be a proper name after a title.
+Which dots are abbreviations is decided by the corpus for the words it knows: over all documents it is counted how often each short word with a dot is
+followed by a lower-case letter or a comma, by another word, or ends a paragraph; a word that never ends a paragraph cannot end a sentence. For other words the
+document itself decides: a short word with a dot before a lower-case word elsewhere in it is an abbreviation there. Proper names are not determined.
 Every script has its own terminators; Thai has none and is cut at spaces between letters.
 """
 
