@@ -54,13 +54,40 @@ def test_table(spark):
     assert S.sentence_ends(df).where("doc_id = 4").count() == 20_000
     parts = [(r["sentence_no"], r["sentence"]) for r in S.sentences(df).where("doc_id = 1").orderBy("sentence_no").collect()]
     assert parts == [(1, "One."), (2, "Two.")]
-    assert S.sentence_ends(df.limit(0)).count() == 0
+    assert S.sentences(df).count() == S.sentence_ends(df).count()
+    assert S.sentence_ends(df.limit(0)).count() == 0 and S.sentences(df.limit(0)).count() == 0
 
 
 def test_document_decides_over_corpus():
-    s = S.Splitter({"abc": True})
-    assert len(s.ends("See abc. Two. And abc. two more")) == 3
-    assert len(S.Splitter({}).ends("the xyz. of it and then xyz. Peter came")) == 1
+    units = lambda known, text: len(S.Splitter(known).ends(text))
+    for known in ({}, {"abc": True}, {"abc": False}):
+        assert units(known, "See abc. Two. And abc. two more") == 2
+    for known in ({}, {"col": False}):
+        assert units(known, "We went up the col. Then it rained.\n\nThis is the col.") == 3
+    assert units({}, "the xyz. of it and then xyz. Peter came") == 1
+
+
+def test_proper_names():
+    units = lambda known, text: len(S.Splitter(known).ends(text))
+    body = "It was by etc. and lamps.\n\nIt ends in etc.\n\n"
+    assert units({}, body + "We met Bell etc. Bell left.") == 3  # Bell is a name inside a sentence
+    assert units({}, body + "We saw that these were etc. These left.") == 4  # in lower case elsewhere
+    assert units({"art": False}, "The old art is dear and so is the mill. They love art. The mill is shut.") == 3
+    assert units({"art": False}, "Voir art. Bell et la suite.") == 1
+
+
+def test_wrapped_titles():
+    text = "The keeper of the old lighthouse met Mr.\nCole near the large harbour and the council\nof the town wrote to Mr. Bell about the cost of\nthe new lamp."
+    assert len(S.Splitter({"mr": False}).ends(text)) == 1
+
+
+def test_long_documents_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(S.Splitter({}).ends("\n".join(f"Line {i} of the book." for i in range(100_000)))) == 100_000
+    S.Splitter({}).ends("“" + 'a "b" c\n' * 60_000)
+    assert time.time() - began < 8
 
 
 def test_corpus_counts(spark):
