@@ -1,9 +1,14 @@
 """Pages that show template residue, filler, error messages or a demand for scripts where content belongs.
 
-Two kinds of evidence. In a single record: slots that kept the name of their variable, a default or a blank (template syntax, bracketed instructions,
-``undefined``), filler prose, and the wording of errors, in the title or in a block that consists of it. Between records: blocks and titles
-are aligned by template (numbers and identifiers are slots), and a template that stands on several sites, nearly always on pages without
-any article, is a whole-page error or default; the pages made of such templates come out whatever their language.
+Records of one template are aligned: every block of a page has a place, the element that holds it, its own element and whether it is the first of its like or of those that
+repeat after it, and the title has a place for each of its parts; the records of a site agree in these. Over the records of a site a place is a constant (menus, notices, the site's name), or a slot if nearly every
+record has a value of its own there. A slot that was never filled shows it in one of these ways:
+
+- it holds the name of its variable, in the syntax of a template, or a bracketed instruction, or is a blank beside its separator;
+- it holds a default: a value that stands in slots of several sites, beside headlines and texts that have nothing to do with each other, as no text written for one page does, copied pages excepted;
+- it holds the message of a whole-page template: a value of several sites, or of many records of one slot, nearly always on pages without any article.
+
+Lists of defaults, filler words and error wordings in nine languages are the last evidence, for records that have no others to be compared with. ``lists=False`` leaves them out.
 """
 
 from __future__ import annotations
@@ -52,11 +57,21 @@ _ERROR = re.compile(
 _BLUNT = re.compile(r"\W*(?:traceback|fatal|undefined|uncaught|warning: |parse error|sqlstate|please enable|you need to turn on|checking your browser|this application requires)", re.I)
 _WAITING = re.compile(r"^\W*(?:loading|just a moment|please wait|one moment|bitte warten|chargement|cargando|carregando|загрузка|読み込み中|ładowanie|verify|warning|oops|error|fehler|erreur|ошибка)\W*$", re.I)
 _SLOT = re.compile(r"[0-9a-f]*\d[0-9a-f]*", re.I)
+_CLAUSE = re.compile(r"[.,;:!?—–()«»“”\"…。、！？।؟]+\s*")
 _SEPARATOR = re.compile(r"\s+(?:\||–|—|-|::|·|»|â€“|‚Äì|ÔÇô)\s+")
 #: A block with this many characters outside lists counts as prose of an article.
 PROSE = 140
+#: Clauses of this many characters in blocks of that many tell pages apart, by the least hashes of each page's; where more than this share of them stand on several pages of a group,
+#: these are copies of one page.
+CLAUSE, OWN, SKETCH, MOST_COPIED = 20, 60, 16, 0.25
+#: A default stands on at least this share of all sites; short sentences meet by chance on a few.
+DEFAULT_SITES = 0.004
+#: One sign of a variable, default or error counts for so many words around it.
+MARK_WORDS, DEFAULT_WORDS, BLANK_WORDS, ERROR_WORDS = 14, 14, 16, 32
+#: A place is a slot if at least this many records have it and this share of their values is different.
+MIN_RECORDS, MIN_DIFFERENT = 5, 0.6
 
-OUT = "row_key string, site bigint, template bigint, article boolean, reason string"
+OUT = "row_key string, site bigint, place bigint, value bigint, head boolean, article boolean, title bigint, reason string, sketch array<bigint>"
 
 
 @memo(200_000)
@@ -65,7 +80,7 @@ def masked(text: str) -> str:
 
 
 @memo(200_000)
-def residue_in(text: str, title: bool = False) -> str | None:
+def residue_in(text: str, title: bool = False, lists: bool = True) -> str | None:
     """Why a whole block or title is residue by itself, or none."""
     n = len(text)
     words = len(text.split())
@@ -74,14 +89,18 @@ def residue_in(text: str, title: bool = False) -> str | None:
     marks = _MARK.findall(text) if any(c in text for c in "{}$%@[_<") else ()
     if marks:
         share = sum(map(len, marks)) / n
-        if title or len(marks) >= 2 or words <= 14 or share >= 0.2:
+        if title or len(marks) >= 2 or words <= len(marks) * MARK_WORDS or share >= 0.2:
             if not (len(marks) == 1 and re.fullmatch(r"\{\d\}", marks[0])):
                 return "variable"
     if _BRACKETED.match(text) and (title or words >= 2 or text.strip("[] ").lower() in ("title", "name", "text", "image")):
         return "bracketed"
-    if (words <= 14 or _SHOUTED.search(text) and words <= 25) and _DEFAULT.search(text):
+    if title and re.match(r"^\s*[|–—:·»-]\s+\S", text):
+        return "blank"
+    if not lists:
+        return None
+    if words <= len(_DEFAULT.findall(text)) * DEFAULT_WORDS or words <= len(_SHOUTED.findall(text)) * 25:
         return "default"
-    if words <= 16 and (title and re.match(r"^\s*[|–—:·»-]\s+\S", text) or not title and _BLANK.search(text)):
+    if not title and words <= len(_BLANK.findall(text)) * BLANK_WORDS:
         return "blank"
     hits = _FILLER.findall(text)
     if len(hits) >= 2 and len({h.lower() for h in hits}) >= 2 and len(hits) >= 0.06 * words:
@@ -91,69 +110,107 @@ def residue_in(text: str, title: bool = False) -> str | None:
     return None
 
 
-def _is_article(blocks: list[Block]) -> bool:
+def _is_article(blocks: list[Block], lists: bool) -> bool:
     """Whether a page has prose."""
-    return any(len(b.text) >= (PROSE if b.text.isascii() or " " in b.text[:60] else PROSE // 3) and b.linked * 2 < b.words and not residue_in(b.text) for b in blocks)
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, site, title, page in zip(batch["row_key"], batch["site"], batch["title"], batch["page"]):
-            blocks = [b for b in blocks_of(page) if "noscript" not in b.path] if page else []
-            body = [b for b in blocks if b.tag != "title"]
-            article = _is_article(body)
-            heads = {masked(b.text) for b in body if b.tag in ("h1", "h2")}
-            titles = {t for t in [title, *(b.text for b in blocks if b.tag == "title")] if t}
-            home = -1 if site is None else xxhash.xxh3_64_intdigest(site) >> 1
-            own = None
-            for t in titles:
-                slot = _SEPARATOR.split(t)[0] if not re.match(r"^\s*[|–—:·»-]\s", t) else t
-                own = own or residue_in(slot, True) or residue_in(t, True)
-                head = masked(slot)
-                if not own and head not in heads and (_WAITING.match(slot) or len(slot.split()) <= 8 and _ERROR.search(slot) and "?" not in slot):
-                    own = "error title"
-                if len(slot) <= 80 and (not article or head not in heads):
-                    rows.append((None if article else key, home, xxhash.xxh3_64_intdigest("t" + head) >> 1, article, None))
-            for b in body:
-                if b.tag == "li" and b.words > 25:
-                    continue
-                r = residue_in(b.text)
-                if r:
-                    own = own or r
-                n = len(b.text)
-                if not own and b.words <= 32 and not b.linked:
-                    if (not article or _BLUNT.match(b.text)) and _ERROR.search(b.text):
-                        own = "error"
-                    elif not article and b.tag in ("h1", "h2") and _WAITING.match(b.text):
-                        own = "error"
-                if n <= PROSE * 2 and n > 3 and not b.linked:
-                    rows.append((None if article else key, home, xxhash.xxh3_64_intdigest("b" + masked(b.text)) >> 1, article, None))
-            if own:
-                rows.append((key, home, xxhash.xxh3_64_intdigest(key) >> 1, article, own))
-        yield pd.DataFrame(rows, columns=["row_key", "site", "template", "article", "reason"]).astype({"site": "int64", "template": "int64", "article": "bool"})
-
-
-def residue_pages(crawl: DataFrame, min_sites: int = 3, min_bare: float = 0.8) -> DataFrame:
+    return any(len(b.text) >= (PROSE if b.text.isascii() or " " in b.text[:60] else PROSE // 3) and b.linked * 2 < b.words and not residue_in(b.text, False, lists) for b in blocks)
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def _own_residue(titles: list[str], body: list[Block], article: bool, lists: bool) -> str | None:
+    """The reason that a record gives by itself."""
+    heads = {masked(b.text) for b in body if b.tag in ("h1", "h2")}
+    own = None
+    for t in titles:
+        slot = _SEPARATOR.split(t)[0] if not re.match(r"^\s*[|–—:·»-]\s", t) else t
+        own = own or residue_in(slot, True, lists) or residue_in(t, True, lists)
+        if lists and not own and masked(slot) not in heads and (_WAITING.match(slot) or len(slot.split()) <= 8 and _ERROR.search(slot) and "?" not in slot):
+            own = "error title"
+    for b in body:
+        if own:
+            break
+        if b.tag == "li" and b.words > 25:
+            continue
+        own = residue_in(b.text, False, lists)
+        if lists and not own and b.linked * 2 < b.words:
+            if (not article or _BLUNT.match(b.text)) and (n := len(_ERROR.findall(b.text))) and b.words <= n * ERROR_WORDS:
+                own = "error"
+            elif not article and b.tag in ("h1", "h2") and _WAITING.match(b.text):
+                own = "error"
+    return own
+
+
+def _scan(lists: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, site, title, page in zip(batch["row_key"], batch["site"], batch["title"], batch["page"]):
+                blocks = [b for b in blocks_of(page) if "noscript" not in b.path] if page else []
+                body = [b for b in blocks if b.tag != "title"]
+                titles = list(dict.fromkeys(t for t in [title, *(b.text for b in blocks if b.tag == "title")] if t))
+                article = _is_article(body, lists)
+                home = -1 if site is None else _number(site)
+                if own := _own_residue(titles, body, article, lists):
+                    rows.append((key, home, 0, 0, False, article, None, own, None))
+                if clauses := {_number(c) for b in body if len(b.text) >= OWN and b.linked * 2 < b.words for c in _CLAUSE.split(b.text) if len(c) >= CLAUSE}:
+                    rows.append((key, home, 0, 0, False, article, None, None, sorted(clauses)[:SKETCH]))
+                values = [(b, _number("b" + masked(b.text))) for b in body if len(b.text) > 3 and b.linked * 2 < b.words]
+                head = next((v for b, v in values if b.tag == "h1"), None)
+                count: dict[str, int] = {}
+                named = _number("t" + masked(_SEPARATOR.split(titles[0])[0])) if titles else head
+                for t in titles:
+                    for k, part in enumerate(_SEPARATOR.split(t)):
+                        if part := masked(part):
+                            rows.append((key, home, _number(f"title {k}"), _number("t" + part), True, article, named, None, None))
+                for b, v in values:
+                    at = f"{b.path}>{b.tag}"
+                    count[at] = k = count.get(at, 0) + 1
+                    rows.append((key, home, _number(f"{at} {min(k, 2)}"), v, b.tag == "h1", article, named if b.tag == "h1" else head, None, None))
+            out = pd.DataFrame(rows, columns=["row_key", "site", "place", "value", "head", "article", "title", "reason", "sketch"])
+            yield out.astype({"site": "int64", "place": "int64", "value": "int64", "head": "bool", "article": "bool", "title": "Int64"})
+
+    return run
+
+
+def residue_pages(crawl: DataFrame, min_sites: int = 3, min_bare: float = 0.8, min_same: int = 5, lists: bool = True) -> DataFrame:
     """row_key, reason of every page with residue; a page may have several reasons.
 
-    A template found on at least ``min_sites`` sites, with ``min_bare`` of its pages having no article, marks its pages without article. Rows without
-    title and page have no residue; repeated rows count once; pages are read once, and only 8-byte template ids are shuffled.
+    A value in slots of at least ``min_sites`` sites and ``DEFAULT_SITES`` of all is a default if its pages have as many different headlines (it may be the headline itself) and are no copies of each other. A value of at least ``min_sites`` sites, or of ``min_same``
+    records of one slot, marks its pages without article if ``min_bare`` of its pages have none. Rows without title and page have no residue; repeated rows count once; pages are
+    read once, and only 8-byte numbers are shuffled.
     """
     pages = crawl.where("row_key is not null and (page is not null or title is not null)").select("row_key", site_of(F.col("url")).alias("site"), "title", "page")
-    found = stored(map_texts(pages, _scan, OUT))
+    found = stored(map_texts(pages, _scan(lists), OUT))
     single = found.where("reason is not null").select("row_key", "reason")
-    parts = found.where("reason is null").select("row_key", "site", "template", "article")
-    shared = (
-        parts.groupBy("template", "site")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("article")).cast("bigint")).alias("bare"))
-        .groupBy("template")
-        .agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.sum("bare").alias("bare"))
-        .where((F.col("sites") >= min_sites) & (F.col("bare") >= min_bare * F.col("n")))
-        .select("template")
+    parts = found.where("reason is null and sketch is null").drop("reason", "sketch")
+    here = parts.groupBy("site", "place", "value").agg(F.count_distinct(F.xxhash64("row_key")).alias("n"), F.sum((~F.col("article")).cast("bigint")).alias("bare"), F.count(F.lit(1)).alias("rows"))
+    slots = here.groupBy("site", "place").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d")).where((F.col("_n") >= MIN_RECORDS) & (F.col("_d") >= MIN_DIFFERENT * F.col("_n"))).select("site", "place")
+    spread = (
+        here.groupBy("value", "site")
+        .agg(F.sum("rows").alias("rows"), F.sum("bare").alias("bare"))
+        .groupBy("value")
+        .agg(F.count(F.lit(1)).alias("sites"), F.sum("rows").alias("rows"), F.sum("bare").alias("bare"))
+        .where(F.col("sites") >= min_sites)
+    )
+    empty = F.col("bare") >= min_bare * F.col("rows")
+    messages = spread.where(empty).select("value").union(here.where((F.col("n") >= min_same) & empty).join(slots, ["site", "place"], "left_semi").select("value")).distinct()
+    whole = parts.where("not article").join(messages, "value", "left_semi").select("row_key", F.lit("template").alias("reason"))
+    shared = stored(parts.join(spread.where(~empty).select("value"), "value", "left_semi").join(slots, ["site", "place"], "left_semi").select("row_key", "site", "value", "head", "title").distinct())
+    sketches = found.where("sketch is not null").select("row_key", "sketch").distinct()
+    copied = (
+        sketches.join(shared.select("row_key", "value").distinct(), "row_key").select("value", F.explode("sketch").alias("clause")).groupBy("value", "clause").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("twice"))
+    )
+    defaults = (
+        shared.groupBy("value")
+        .agg(F.count_distinct("site").alias("sites"), F.count_distinct("title").alias("titles"), F.max("head").alias("head"))
+        .where((F.col("sites") >= F.greatest(F.lit(min_sites), DEFAULT_SITES * here.agg(F.count_distinct("site")).scalar())) & ((F.col("titles") >= min_sites) | F.col("head")))
+        .join(copied.where(F.col("twice") <= MOST_COPIED * F.col("n")), "value")
+        .select("value")
     )
-    whole = parts.where("not article").join(shared, "template", "left_semi").select("row_key", F.lit("template").alias("reason"))
-    return single.unionByName(whole).distinct()
+    unfilled = shared.join(defaults, "value", "left_semi").select("row_key", F.lit("shared default").alias("reason"))
+    return single.unionByName(whole).unionByName(unfilled).distinct()
 
 
 def without_residue(crawl: DataFrame, **options) -> DataFrame:

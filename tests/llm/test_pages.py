@@ -96,6 +96,46 @@ def test_residue_pages(spark):
     assert R.residue_pages(df.limit(0)).count() == 0
 
 
+def varied_article(rng, site, extra=""):
+    """An article whose sentences hardly occur twice."""
+    word = lambda: "".join(rng.choices("abcdefghilmnoprstuv", k=rng.randint(3, 8)))
+    head = " ".join(word() for _ in range(5))
+    body = "".join(f"<p>{' '.join(' '.join(word() for _ in range(9)) + '.' for _ in range(3))}</p>" for _ in range(4))
+    return head, f'<body><div class="menu"><ul><li><a href="/a">Home</a></li></ul></div><div class="article"><h1>{head}</h1>{body}{extra}</div><div class="footer"><p>All rights reserved by {site}</p></div></body>'
+
+
+def test_slots_without_lists(spark):
+    rng = random.Random(14)
+    ordinary = lambda i: varied_article(rng, f"s{i % 6}")
+    rows = []
+    for i in range(90):
+        head, page = ordinary(i)
+        rows.append((f"ok{i}", f"http://s{i % 6}.org/{i}", f"{head} | s{i % 6}", page, "", ""))
+    for i in range(5):
+        head, page = varied_article(rng, f"s{i}", "<p>Inserisci qui il testo della pagina</p>")  # a default in no list
+        rows.append((f"default{i}", f"http://s{i}.org/d", f"{head} | s{i}", page, "", ""))
+        head, page = ordinary(i)
+        rows.append((f"title{i}", f"http://s{i}.org/t", f"Titolo provvisorio | s{i}", page, "", ""))
+        menu = '<div class="menu"><ul><li><a href="/a">Home</a></li></ul></div>'
+        rows.append((f"error{i}", f"http://s{i}.org/e", "Halaman tidak ditemukan", f'<body>{menu}<div class="article"><h1>Halaman tidak ditemukan</h1><p>Alamat nomor {i * 31} tidak ada lagi, <a href="/">kembali</a> ke halaman depan situs ini.</p></div></body>', "", ""))
+    head, page = ordinary(0)
+    for i in range(5):  # one article copied to other sites
+        rows.append((f"copy{i}", f"http://s{i}.org/c", f"{head} | s{i}", page.replace("by s0", f"by s{i}").replace(".</p>", f" {'abcde'[i]}.</p>", 2), "", ""))
+    rows.append(("blank", "http://s1.org/b", " | s1", ordinary(1)[1], "", ""))
+    got = {}
+    for r in R.residue_pages(spark.createDataFrame(rows, CRAWL), lists=False).collect():
+        got.setdefault(r["row_key"], set()).add(r["reason"])
+    assert set(got) == {f"{k}{i}" for k in ("default", "title", "error") for i in range(5)} | {"blank"}
+    assert got["default0"] == {"shared default"} == got["title0"] and got["error0"] == {"template"} and got["blank"] == {"blank"}
+
+
+def test_one_site_error_template(spark):
+    rng = random.Random(15)
+    rows = [(f"ok{i}", f"http://one.org/{i}", *varied_article(rng, "one"), "", "") for i in range(40)]
+    rows += [(f"e{i}", f"http://one.org/e{i}", "Sidan kunde inte hittas", '<body><div class="article"><h1>Sidan kunde inte hittas</h1></div></body>', "", "") for i in range(6)]
+    assert {r["row_key"] for r in R.residue_pages(spark.createDataFrame(rows, CRAWL), lists=False).collect()} == {f"e{i}" for i in range(6)}
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(5)
     brands = ["".join(rng.choices("abcdefghiklmnoprstu", k=7)) for _ in range(400)]
