@@ -71,7 +71,11 @@ MARK_WORDS, DEFAULT_WORDS, BLANK_WORDS, ERROR_WORDS = 14, 14, 16, 32
 #: A place is a slot if at least this many records have it and this share of their values is different.
 MIN_RECORDS, MIN_DIFFERENT = 5, 0.6
 
-OUT = "row_key string, site bigint, place bigint, value bigint, head boolean, article boolean, title bigint, reason string, sketch array<bigint>"
+#: What every phrase of the list of defaults has a part of; longer blocks need several phrases.
+_HINTS = ("here", "your ", "to be ", "max", "tbd", "tbc", "todo", "fixme", "xxxx", "click ", "replace this", " text")
+
+OUT = "row_key string, site bigint, article boolean, named bigint, headline bigint, reason string, sketch array<bigint>, places array<bigint>, values array<bigint>"
+OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
 @memo(200_000)
@@ -98,9 +102,10 @@ def residue_in(text: str, title: bool = False, lists: bool = True) -> str | None
         return "blank"
     if not lists:
         return None
-    if words <= len(_DEFAULT.findall(text)) * DEFAULT_WORDS or words <= len(_SHOUTED.findall(text)) * 25:
+    low = text.lower() if words > DEFAULT_WORDS else ""
+    if (not low or sum(map(low.count, _HINTS)) * DEFAULT_WORDS >= words) and (words <= len(_DEFAULT.findall(text)) * DEFAULT_WORDS or words <= len(_SHOUTED.findall(text)) * 25):
         return "default"
-    if not title and words <= len(_BLANK.findall(text)) * BLANK_WORDS:
+    if not title and words <= 2 * BLANK_WORDS and words <= len(_BLANK.findall(text)) * BLANK_WORDS:  # only at both ends
         return "blank"
     hits = _FILLER.findall(text)
     if len(hits) >= 2 and len({h.lower() for h in hits}) >= 2 and len(hits) >= 0.06 * words:
@@ -119,6 +124,11 @@ def _number(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
+@memo(200_000)
+def _place(name: str, head: bool) -> int:
+    return _number(name) & ~1 | (not head)
+
+
 def _own_residue(titles: list[str], body: list[Block], article: bool, lists: bool) -> str | None:
     """The reason that a record gives by itself."""
     heads = {masked(b.text) for b in body if b.tag in ("h1", "h2")}
@@ -143,6 +153,8 @@ def _own_residue(titles: list[str], body: list[Block], article: bool, lists: boo
 
 
 def _scan(lists: bool):
+    """One row a page. Headlines and title parts have even places, all others odd ones."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -151,25 +163,27 @@ def _scan(lists: bool):
                 body = [b for b in blocks if b.tag != "title"]
                 titles = list(dict.fromkeys(t for t in [title, *(b.text for b in blocks if b.tag == "title")] if t))
                 article = _is_article(body, lists)
-                home = -1 if site is None else _number(site)
-                if own := _own_residue(titles, body, article, lists):
-                    rows.append((key, home, 0, 0, False, article, None, own, None))
-                if clauses := {_number(c) for b in body if len(b.text) >= OWN and b.linked * 2 < b.words for c in _CLAUSE.split(b.text) if len(c) >= CLAUSE}:
-                    rows.append((key, home, 0, 0, False, article, None, None, sorted(clauses)[:SKETCH]))
-                values = [(b, _number("b" + masked(b.text))) for b in body if len(b.text) > 3 and b.linked * 2 < b.words]
-                head = next((v for b, v in values if b.tag == "h1"), None)
-                count: dict[str, int] = {}
-                named = _number("t" + masked(_SEPARATOR.split(titles[0])[0])) if titles else head
+                clauses = {_number(c) for b in body if len(b.text) >= OWN and b.linked * 2 < b.words for c in _CLAUSE.split(b.text) if len(c) >= CLAUSE}
+                places, values = [], []
                 for t in titles:
                     for k, part in enumerate(_SEPARATOR.split(t)):
                         if part := masked(part):
-                            rows.append((key, home, _number(f"title {k}"), _number("t" + part), True, article, named, None, None))
-                for b, v in values:
-                    at = f"{b.path}>{b.tag}"
-                    count[at] = k = count.get(at, 0) + 1
-                    rows.append((key, home, _number(f"{at} {min(k, 2)}"), v, b.tag == "h1", article, named if b.tag == "h1" else head, None, None))
-            out = pd.DataFrame(rows, columns=["row_key", "site", "place", "value", "head", "article", "title", "reason", "sketch"])
-            yield out.astype({"site": "int64", "place": "int64", "value": "int64", "head": "bool", "article": "bool", "title": "Int64"})
+                            places.append(_place(f"title {k}", True))
+                            values.append(_number("t" + part))
+                headline = None
+                seen: set[str] = set()
+                for b in body:
+                    if len(b.text) > 3 and b.linked * 2 < b.words:
+                        at = f"{b.path}>{b.tag}"
+                        places.append(_place(at + (" 2" if at in seen else " 1"), b.tag == "h1"))
+                        values.append(_number("b" + masked(b.text)))
+                        seen.add(at)
+                        if headline is None and b.tag == "h1":
+                            headline = values[-1]
+                named = _number("t" + masked(_SEPARATOR.split(titles[0])[0])) if titles else headline
+                own = _own_residue(titles, body, article, lists)
+                rows.append((key, -1 if site is None else _number(site), article, named, headline, own, sorted(clauses)[:SKETCH], places, values))
+            yield pd.DataFrame(rows, columns=OUT_NAMES).astype({"site": "int64", "article": "bool", "named": "Int64", "headline": "Int64"})
 
     return run
 
@@ -184,10 +198,16 @@ def residue_pages(crawl: DataFrame, min_sites: int = 3, min_bare: float = 0.8, m
     pages = crawl.where("row_key is not null and (page is not null or title is not null)").select("row_key", site_of(F.col("url")).alias("site"), "title", "page")
     found = stored(map_texts(pages, _scan(lists), OUT))
     single = found.where("reason is not null").select("row_key", "reason")
-    parts = found.where("reason is null and sketch is null").drop("reason", "sketch")
-    here = parts.groupBy("site", "place", "value").agg(F.count_distinct(F.xxhash64("row_key")).alias("n"), F.sum((~F.col("article")).cast("bigint")).alias("bare"), F.count(F.lit(1)).alias("rows"))
-    slots = here.groupBy("site", "place").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d")).where((F.col("_n") >= MIN_RECORDS) & (F.col("_d") >= MIN_DIFFERENT * F.col("_n"))).select("site", "place")
-    spread = (
+    at = F.explode(F.arrays_zip("places", "values")).alias("_p")
+    head = (F.col("place") % 2) == 0
+    parts = found.select("row_key", "site", "article", "named", "headline", at).select(
+        "row_key", "site", "article", F.col("_p.places").alias("place"), F.col("_p.values").alias("value"), "named", "headline"
+    )
+    here = stored(
+        parts.groupBy("site", "place", "value").agg(F.count_distinct(F.xxhash64("row_key")).alias("n"), F.sum((~F.col("article")).cast("bigint")).alias("bare"), F.count(F.lit(1)).alias("rows"))
+    )
+    slots = stored(here.groupBy("site", "place").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d")).where((F.col("_n") >= MIN_RECORDS) & (F.col("_d") >= MIN_DIFFERENT * F.col("_n"))).select("site", "place"))
+    spread = stored(
         here.groupBy("value", "site")
         .agg(F.sum("rows").alias("rows"), F.sum("bare").alias("bare"))
         .groupBy("value")
@@ -197,8 +217,8 @@ def residue_pages(crawl: DataFrame, min_sites: int = 3, min_bare: float = 0.8, m
     empty = F.col("bare") >= min_bare * F.col("rows")
     messages = spread.where(empty).select("value").union(here.where((F.col("n") >= min_same) & empty).join(slots, ["site", "place"], "left_semi").select("value")).distinct()
     whole = parts.where("not article").join(messages, "value", "left_semi").select("row_key", F.lit("template").alias("reason"))
-    shared = stored(parts.join(spread.where(~empty).select("value"), "value", "left_semi").join(slots, ["site", "place"], "left_semi").select("row_key", "site", "value", "head", "title").distinct())
-    sketches = found.where("sketch is not null").select("row_key", "sketch").distinct()
+    shared = stored(parts.join(spread.where(~empty).select("value"), "value", "left_semi").join(slots, ["site", "place"], "left_semi").select("row_key", "site", "value", head.alias("head"), F.when(head, F.col("named")).otherwise(F.col("headline")).alias("title")).distinct())
+    sketches = found.where("size(sketch) > 0").select("row_key", "sketch").distinct()
     copied = (
         sketches.join(shared.select("row_key", "value").distinct(), "row_key").select("value", F.explode("sketch").alias("clause")).groupBy("value", "clause").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("twice"))
     )
