@@ -26,7 +26,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, d, "pt_crawl")).select("row_key").distinct()
+    return stuffing.stuffed_pages(table(spark, d, "pt_crawl"), table(spark, d, "pt_processed")).select("row_key").distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

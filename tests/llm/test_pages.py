@@ -183,3 +183,26 @@ def test_garbled_pages_are_counted_mended(spark):
     got = {r["row_key"]: r for r in F.page_coherence(df).collect()}
     assert got["garbled"]["unsupported"] > 0.9 and got["pairs"]["unsupported"] == 0 == got["clean"]["unsupported"]
     assert "garbled" in {r["row_key"] for r in F.stuffed_pages(df).collect()}
+
+
+def test_texts_without_a_page(spark):
+    rng = random.Random(11)
+    rows = [(f"ok{i}", "u", *article(rng, f"s{i % 5}"), "", "") for i in range(60)]
+    texts = ["\n".join(f"{rng.choice(['cheap', 'best'])} {''.join(rng.choices('abcdefghik', k=6))} boots" for _ in range(40)) for _ in range(3)]
+    rows += [("gone", "u", None, None, "", ""), ("gone", "u", None, None, "", "")]
+    processed = spark.createDataFrame([("gone", texts[0], "x", 0), ("gone", texts[0], "x", 0), ("alone", texts[1], "x", 0), ("ok1", texts[2], "x", 0), ("nul", None, None, None), (None, texts[2], "", 0)], PROCESSED)
+    df = spark.createDataFrame(rows, CRAWL)
+    assert {r["row_key"] for r in F.stuffed_pages(df, processed).collect()} == {"gone", "alone"}
+    assert F.stuffed_pages(df).count() == 0 and F.stuffed_pages(df.limit(0), processed.limit(0)).count() == 0
+
+
+def test_shared_keywords_are_no_support(spark):
+    """Stuffed pages that share all their pairs with each other are found by their mean PMI, though hardly a pair is their own."""
+    rng = random.Random(12)
+    rows = [(f"ok{i}", "u", *article(rng, f"s{i % 5}"), "", "") for i in range(80)]
+    keys = ["".join(rng.choices("abcdefghik", k=6)) for _ in range(25)]
+    for i in range(12):
+        rows.append((f"bad{i}", "u", "t", "<ul>" + "".join(f"<li>{rng.choice(keys)} {rng.choice(keys)} {rng.choice(keys)}</li>" for _ in range(90)) + "</ul>", "", ""))
+    df = spark.createDataFrame(rows, CRAWL)
+    got = {r["row_key"]: r for r in F.stuffed_pages(df).collect()}
+    assert set(got) == {f"bad{i}" for i in range(12)} and all(r["unsupported"] < 0.2 for r in got.values())
