@@ -43,22 +43,51 @@ def page_words(s: Column) -> Column:
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
+# What the crawler's cleaning takes out of a page, in this order, before its letters are kept.
+HIDDEN_TAGS = "meta head noscript iframe embed object applet link base area map param track wbr".split()
+STANDING_PHRASES = ("privacy policy", "terms of service", "about us")
+
+
+def hidden_elements() -> str:
+    """A pattern for elements that hold nothing to be read, without back references, so that any engine takes it."""
+    return "(?s)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in HIDDEN_TAGS)
+
+
+def body_steps() -> list[str]:
+    """The patterns that ``body_letters`` replaces by spaces, in order."""
+    return [
+        r"(?s)<script.*?>.*?</script>",
+        r"(?s)<style.*?>.*?</style>",
+        r'on\w+\s*=\s*"[^"]*"',
+        r"on\w+\s*=\s*'[^']*'",
+        r"(?s)<!--.*?-->",
+        r"(?s)<footer.*?>.*?</footer>",
+        hidden_elements(),
+        f"<(?:{'|'.join(HIDDEN_TAGS)})[^>]*>",
+        r"<[^>]*>",
+        r"[ \t\n\x0B\f\r]+",
+        rf"(?i)\b(?:{'|'.join(STANDING_PHRASES)})\b",
+        r"[^\p{L} ]",
+    ]
+
+
 def body_letters(s: Column) -> Column:
-    """The stronger cleaning of the crawler: scripts, styles, comments, handlers and footers go first."""
-    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"(?is)<footer.*?</footer>", r"(?is)\son[a-z]+=\"[^\"]*\""):
+    """The stronger cleaning of the crawler: scripts, styles, handlers, comments, footers, hidden elements, tags and standing phrases go; letters of all scripts stay, in lower case."""
+    for pattern in body_steps():
         s = F.regexp_replace(s, pattern, " ")
-    return page_letters(s)
+    return F.lower(F.trim(s))
 
 
 def paragraph_letters(s: Column) -> Column:
-    """Only what stands in paragraphs and headings, as lower-case letters."""
-    parts = F.regexp_extract_all(s, F.lit(r"(?is)<(?:p|h[1-6])(?:\s[^>]*)?>(.*?)</(?:p|h[1-6])>"), F.lit(1))
-    return page_letters(F.array_join(parts, " "))
+    """Only what stands in paragraphs and headings, as lower-case letters of all scripts; tags inside leave the letters of their names."""
+    parts = F.regexp_extract_all(s, F.lit(r"(?s)<(p|h[1-6]).*?>(.*?)</\1>"), F.lit(2))
+    letters = F.regexp_replace(F.array_join(parts, " "), r"[^\p{L}\x0B\f]", " ")
+    return F.lower(F.trim(F.regexp_replace(letters, " +", " ")))
 
 
 def sanitized(s: Column) -> Column:
-    """Letters, digits, apostrophes and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9' ]", " "), r" +", " "))
+    """Letters and digits of all scripts, apostrophes and single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}\s']", " "), r"\s+", " "))
 
 
 def _meta(page: Column, attribute: str, name: str) -> Column:
@@ -115,8 +144,17 @@ def is_english(page: Column, detected: Column) -> Column:
     return (lang == "en") | lang.startswith("en-")
 
 
-def zip_codes(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit(r"(?i)zip\D{0,10}([0-9]{5})"), F.lit(1))
+def zip_codes(text: Column) -> Column:
+    """The distinct passages of a page's text that name a ZIP code, in lower case: the word ``zip`` and five digits, perhaps with four more, at most 20 characters on."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(?<!\.)\bzip\b.{0,20}\b\d{5}(?:-\d{4})?\b"), F.lit(0))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def page_location(page: Column) -> Column:
+    """``latitude,longitude`` of a page's meta elements, or empty where either is missing."""
+    value = lambda names: F.regexp_extract(page, rf'(?i)<meta\s+property="[^"]*(?:{names})[^"]*"\s+content="([^"]*)"', 1)
+    latitude, longitude = value("og:latitude|og:lat|place:location:latitude|geo.position"), value("og:longitude|place:location:longitude")
+    return F.when((latitude != "") & (longitude != ""), F.concat(latitude, F.lit(","), longitude)).otherwise(F.lit(""))
 
 
 def named_places(text: Column, places: list[str]) -> Column:
@@ -152,11 +190,21 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, F.lit(0.5)).otherwise((x - low) / (high - low))
 
 
-def query_terms(query: str) -> list[str]:
-    """A query's words, separated by hyphens, cleaned and in order, each once."""
-    out = []
-    for part in query.split("-"):
-        w = "".join(c if c.isascii() else " " for c in part).strip().lower()
-        if w and w not in out:
-            out.append(w)
-    return out
+def query_words(query: str) -> list[str]:
+    """A query's words, separated by hyphens, cleaned, in order, repeated ones kept."""
+    cleaned = ("".join(c if c.isascii() else " " for c in part).strip().lower() for part in query.split("-"))
+    return [w for w in cleaned if w]
+
+
+def query_terms(query: str, stop_words: frozenset[str] = frozenset(), lemmas: dict[str, str] | None = None) -> list[str]:
+    """A query's words as their lemmas, without stop words, each once; if only stop words are left, these stay."""
+    words = query_words(query)
+    kept = [w for w in words if w not in stop_words] or words
+    return list(dict.fromkeys((lemmas or {}).get(w, w) for w in kept))
+
+
+def query_counts(query: str, **analysis) -> dict[str, int]:
+    """How often each term stands in the query."""
+    lemmas = analysis.get("lemmas") or {}
+    terms = [lemmas.get(w, w) for w in query_words(query)]
+    return {t: terms.count(t) for t in query_terms(query, **analysis)}

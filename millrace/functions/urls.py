@@ -51,9 +51,17 @@ def crawlable(url: Column) -> Column:
     return url.rlike(r"^https?://") & ~F.lower(url).rlike(r"\.(jpg|jpeg|gif|png|txt)$")
 
 
+# What marks links of advertisers, one news site's shopping pages, and protocols that lead to no page.
+AD_WORDS = "ad track utm promo sponsored".split()
+SHOP_PAGES = r"^https?://(?:www\.)?nbcnews\.com(?::[0-9]+)?/select"
+NO_PAGE = "mailto: javascript: tel:".split()
+LONGEST_LINK = 200
+
+
 def unwanted_link(url: Column) -> Column:
-    """Links that the frontier drops: overlong, advertising and tracking, other protocols."""
-    return (F.length(url) > 200) | url.rlike(r"(ad|track|utm|promo|sponsored)") | url.rlike(r"/(ads|sponsored)/") | url.rlike(r"^(mailto|javascript|tel):")
+    """Links that the frontier drops: overlong, advertising and tracking, other protocols; letter case does not matter."""
+    low = F.lower(url)
+    return (F.length(low) > LONGEST_LINK) | low.rlike(SHOP_PAGES) | low.rlike("|".join(AD_WORDS)) | low.rlike("|".join(NO_PAGE))
 
 
 def normalized_link(link: Column, base: Column) -> Column:
@@ -96,6 +104,28 @@ def depth_drop_share(url: Column) -> Column:
     return 1 / (1 + F.exp(-0.5 * (depth - 8)))
 
 
-def thinned(url: Column, seed: int = 0) -> Column:
-    """Whether a link stays, by a seeded hash of it against its share."""
-    return F.pmod(F.xxhash64(url, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 >= depth_drop_share(url)
+# The shares of links that a thinned crawl drops by the end of their host.
+DROP_SHARES = ((("edu", "org", "com", "net"), 0.1), (("gov", "tv", "io"), 0.3))
+OTHER_DROP_SHARE = 0.8
+
+
+def domain_drop_share(url: Column) -> Column:
+    """The share of links to hosts of this ending that a thinned crawl drops."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z]+://([^/:?#]*)", 1)
+    out = F.lit(OTHER_DROP_SHARE)
+    for ends, share in reversed(DROP_SHARES):
+        out = F.when(host.rlike(f"(?:{'|'.join(ends)})$"), F.lit(share)).otherwise(out)
+    return out
+
+
+def random_looking(url: Column) -> Column:
+    """Whether a path of more than four segments has one of ten or more letters and digits only."""
+    parts = F.split(F.regexp_extract(url, r"^[A-Za-z]+://(.*)$", 1), "/")
+    return (F.size(parts) > 5) & F.exists(parts, lambda p: p.rlike("^[a-zA-Z0-9]{10,}$"))
+
+
+def thinned(url: Column, seed: int = 0, by_domain: bool = False) -> Column:
+    """Whether a link stays, by a seeded hash of it against its share; with ``by_domain`` also by the share of its host's ending, and never if its path looks random."""
+    drawn = lambda k: F.pmod(F.xxhash64(url, F.lit(seed + k)), F.lit(1_000_000)) / 1_000_000
+    stays = drawn(0) >= depth_drop_share(url)
+    return stays & (drawn(1) >= domain_drop_share(url)) & ~random_looking(url) if by_domain else stays

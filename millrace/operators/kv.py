@@ -19,9 +19,13 @@ def latest(cells: DataFrame) -> DataFrame:
 
 def put(cells: DataFrame, new: DataFrame) -> DataFrame:
     """The table with ``new`` (row_key, col, value) written over it, each row one version above the greatest that its row had."""
+    return cells.select("row_key", "col", "value", "version").unionByName(versioned(cells, new))
+
+
+def versioned(cells: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with the version that a put gives it: one above the greatest of its row."""
     top = cells.groupBy("row_key").agg(F.max("version").alias("_top"))
-    written = new.join(top, "row_key", "left").select("row_key", "col", "value", (F.coalesce("_top", F.lit(0)) + 1).cast("bigint").alias("version"))
-    return cells.select("row_key", "col", "value", "version").unionByName(written)
+    return new.join(top, "row_key", "left").select("row_key", "col", "value", (F.coalesce("_top", F.lit(0)) + 1).cast("bigint").alias("version"))
 
 
 def put_where(cells: DataFrame, new: DataFrame, if_column: str, equals: str) -> DataFrame:
@@ -31,10 +35,9 @@ def put_where(cells: DataFrame, new: DataFrame, if_column: str, equals: str) ->
 
 
 def put_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """Whole rows replaced: no older cell of a row in ``rows`` remains."""
-    return cells.select("row_key", "col", "value", "version").join(rows.select("row_key").distinct(), "row_key", "left_anti").unionByName(
-        rows.select("row_key", "col", "value", F.lit(1).cast("bigint").alias("version"))
-    )
+    """Whole rows replaced: no older cell of a row in ``rows`` remains, and its version is above all it had."""
+    kept = cells.select("row_key", "col", "value", "version").join(rows.select("row_key").distinct(), "row_key", "left_anti")
+    return kept.unionByName(versioned(cells, rows.select("row_key", "col", "value")))
 
 
 def get_row(cells: DataFrame, key: str, version: int | None = None) -> DataFrame:
@@ -116,7 +119,11 @@ class Store:
         self.spark.sql(f"CREATE TABLE {self._name(table)} ({SCHEMA}) USING parquet")
 
     def put(self, table: str, cells: DataFrame) -> None:
-        cells.select("row_key", "col", "value", "version").write.mode("append").format("parquet").saveAsTable(self._name(table))
+        """Writes cells (row_key, col, value), each one version above the greatest of its row; a missing table is made."""
+        if not self.spark.catalog.tableExists(self._name(table)):
+            self.create(table)
+        new = versioned(self.read(table), cells.select("row_key", "col", "value"))
+        new.write.mode("append").format("parquet").saveAsTable(self._name(table))
 
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self._name(table))
@@ -145,7 +152,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession() or local_session()
     store = Store(spark)
     if a.command == "put":
-        store.put(a.table, spark.createDataFrame([(*a.rest[:3], 1)], SCHEMA))
+        store.put(a.table, spark.createDataFrame([tuple(a.rest[:3])], "row_key string, col string, value string"))
     elif a.command == "get":
         print(get(store.read(a.table), a.rest[0], a.rest[1]).first())
     elif a.command == "scan":

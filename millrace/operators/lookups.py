@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.urls import host_of, root_url, top_domain, wildcard_regex
 
+#: Blacklist patterns that are merged into one.
+ONE_PATTERN = 5_000
+
 
 def resolved(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Ids replaced by what they stand for; unknown ids are dropped."""
@@ -36,9 +39,12 @@ def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def without_blacklisted(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Urls that match none of the wildcard patterns (a small configuration table)."""
-    bad = patterns.where("pattern is not null").select(wildcard_regex(F.col("pattern")).alias("_p"))
-    return urls.join(bad, F.expr("url rlike _p"), "left_anti")
+    """Urls that match none of the wildcard patterns (a configuration table). All patterns become one, compiled once for each task, up to ``ONE_PATTERN`` of them; beyond that they are joined."""
+    bad = patterns.where("pattern is not null").select(wildcard_regex(F.col("pattern")).alias("_p")).distinct()
+    rows = bad.limit(ONE_PATTERN + 1).collect()  # bounded by ONE_PATTERN
+    if len(rows) > ONE_PATTERN:
+        return urls.join(bad, F.expr("url rlike _p"), "left_anti")
+    return urls.where(~F.col("url").rlike("|".join(sorted(f"(?:{r['_p']})" for r in rows))) | F.col("url").isNull()) if rows else urls
 
 
 def first_of_content(pages: DataFrame) -> DataFrame:
@@ -57,9 +63,9 @@ def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int) -> Da
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def drop_then_best(rows: DataFrame, drop: int, best: int, seed: int = 0) -> DataFrame:
-    """At most ``drop`` rows by a seeded hash of url_hash, and of those the ``best`` by rank."""
-    kept = rows.orderBy(F.xxhash64("url_hash", F.lit(seed)), "url_hash").limit(drop)
+def drop_then_best(rows: DataFrame, drop: int | None, best: int, seed: int = 0) -> DataFrame:
+    """At most ``drop`` rows by a seeded hash of url_hash (all rows if it is none), and of those the ``best`` by rank."""
+    kept = rows if drop is None else rows.orderBy(F.xxhash64("url_hash", F.lit(seed)), "url_hash").limit(drop)
     return kept.orderBy(F.desc("rank"), "url_hash").limit(best)
 
 
@@ -70,10 +76,15 @@ def diverse_top(rows: DataFrame, per_domain: int = 2, limit: int = 10) -> DataFr
     return top_per_group(one, "domain", order, per_domain).drop("position").orderBy(*order).limit(limit)
 
 
-def with_host_limit(frontier: DataFrame, hosts: DataFrame, now: Column, pause: float = 1.0) -> DataFrame:
-    """url, fetch, wait: the first url of each host that was not visited within ``pause`` seconds is fetched, the others wait."""
-    state = hosts.where("host is not null").groupBy("host").agg(F.max("last_access").alias("_last"), F.max("crawl_delay").alias("_delay"))
+def with_host_limit(frontier: DataFrame, hosts: DataFrame, now: Column, pause: float = 1.0, per_host: int | None = 1) -> DataFrame:
+    """url, host, fetch: the first ``per_host`` urls of each host (all if it is none) that was not visited within ``pause`` seconds, or its crawl delay, are fetched, the others wait.
+
+    A host may also have ``not_before``, a time until which it asked to be left alone.
+    """
+    late = F.max("not_before") if "not_before" in hosts.columns else F.lit(None).cast("timestamp_ntz")
+    state = hosts.where("host is not null").groupBy("host").agg(F.max("last_access").alias("_last"), F.max("crawl_delay").alias("_delay"), late.alias("_late"))
     known = frontier.withColumn("host", F.lower(host_of(F.col("url")))).join(state, "host", "left")
     free = F.col("_last").isNull() | (F.col("_last") + F.make_dt_interval(secs=F.greatest(F.coalesce("_delay", F.lit(0.0)), F.lit(pause)).cast("decimal(18,6)")) <= now)
-    first = F.row_number().over(W.partitionBy("host").orderBy("url")) == 1
+    free = free & (F.col("_late").isNull() | (F.col("_late") <= now))
+    first = F.lit(True) if per_host is None else F.row_number().over(W.partitionBy("host").orderBy("url")) <= per_host
     return known.withColumn("fetch", free & first).select("url", "host", "fetch")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.functions.urls import _hash_codes
-
 _CUT = r"""'^[^.,!?:;"''(){}\[\]-]*'"""
-_CODES = "[" + ",".join(f"'{c}'" for c in _hash_codes()) + "]"
+# The code of a byte by the definition: n is 255 for byte 0, the byte itself below 128, one less from there; letter n mod 26, then one of ten letters by n div 26.
+_BYTE = "CAST(concat('0x', substr(sha1({0}), 2 * CAST(i AS INTEGER) + 1, 2)) AS INTEGER)"
+_NUMBER = "(CASE WHEN {0} = 0 THEN 255 WHEN {0} < 128 THEN {0} ELSE {0} - 1 END)"
 
 
 def _hash(x: str) -> str:
-    return f"list_aggregate(list_transform(range(0, 20), lambda i: {_CODES}[1 + CAST(concat('0x', substr(sha1({x}), 2 * CAST(i AS INTEGER) + 1, 2)) AS INTEGER)]), 'string_agg', '')"
+    n = _NUMBER.format(_BYTE.format(x))
+    return f"list_aggregate(list_transform(range(0, 20), lambda i: chr(97 + {n} % 26) || substr('acegikmoqs', 1 + {n} // 26, 1)), 'string_agg', '')"
 
 
 def _tokens(table: str, doc: str, text: str) -> str:
@@ -45,7 +46,7 @@ norm AS (SELECT *, sc || '://' || h || ':' || CASE WHEN po <> '' THEN po WHEN sc
 _HOST = "coalesce(nullif(regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '^www\\.', ''), ''), 'Unknown')"
 _TOP = "regexp_extract(regexp_extract({0}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]*)', 1), '([^.]*\\.)?[^.]*$', 0)"
 _CRAWLABLE = "(regexp_matches({0}, '^https?://') AND NOT regexp_matches(lower({0}), '\\.(jpg|jpeg|gif|png|txt)$'))"
-_UNWANTED = "(length({0}) > 200 OR regexp_matches({0}, '(ad|track|utm|promo|sponsored)') OR regexp_matches({0}, '/(ads|sponsored)/') OR regexp_matches({0}, '^(mailto|javascript|tel):'))"
+_UNWANTED = "(length({0}) > 200 OR regexp_matches(lower({0}), '^https?://(www\\.)?nbcnews\\.com(:[0-9]+)?/select.*') OR regexp_matches(lower({0}), '.*(ad|track|utm|promo|sponsored).*') OR regexp_matches(lower({0}), '.*(/ads/|/sponsored/).*') OR contains(lower({0}), 'mailto:') OR contains(lower({0}), 'javascript:') OR contains(lower({0}), 'tel:'))"
 _LISTED = "WITH listed AS (SELECT row_key, url, unnest(string_split(links, chr(10))) AS raw FROM pt_processed WHERE links IS NOT NULL AND url IS NOT NULL)" + _normal("raw", "url", "listed", "row_key, url")
 _LETTERS = "trim(regexp_replace(regexp_replace(lower({0}), '<[^>]*>', ' ', 'g'), '[^a-z]+', ' ', 'g'))"
 _PAGE_WORDS = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '[.,:;!?''’"()\-\r\n\t]', ' ', 'g')), ' +'), lambda w: w <> '')"""
@@ -139,17 +140,24 @@ x AS (SELECT row_key, string_agg(col || ':' || value, '|' ORDER BY col) AS s FRO
 SELECT coalesce(x.row_key, y.row_key) AS row_key, CASE WHEN y.s IS NULL THEN 'left' WHEN x.s IS NULL THEN 'right' ELSE 'both' END AS side FROM x FULL JOIN y ON x.row_key = y.row_key WHERE x.s IS DISTINCT FROM y.s"""
     o["kv_sample_prefix3"] = "SELECT row_key FROM (SELECT row_key, row_number() OVER (PARTITION BY substr(row_key, 1, 3) ORDER BY row_key) AS n FROM (SELECT DISTINCT row_key FROM pt_crawl)) WHERE n <= 3"
     o["text_clean"] = rf"""SELECT row_key, title, trim(regexp_replace(regexp_replace(title, '[^\x00-\x7F]', ' ', 'g'), '\s+', ' ', 'g')) AS words, trim(regexp_replace(title, '[^\x00-\x7F]', '', 'g')) AS word, regexp_extract(title, {_CUT}, 0) AS head,
-nullif(regexp_extract(title, '[0-9]+', 0), '') AS number, trim(regexp_replace(regexp_replace(title, '[^A-Za-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) AS safe FROM (SELECT DISTINCT row_key, title FROM pt_processed WHERE title IS NOT NULL)"""
+nullif(regexp_extract(title, '[0-9]+', 0), '') AS number, trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS safe FROM (SELECT DISTINCT row_key, title FROM pt_processed WHERE title IS NOT NULL)"""
     o["text_title_case"] = "SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), 'string_agg', ' ') AS name FROM part"
     o["text_strip_html"] = f"SELECT row_key, {_LETTERS.format('page')} AS letters, coalesce(list_aggregate({_PAGE_WORDS.format('page')}, 'string_agg', ' '), '') AS words FROM (SELECT DISTINCT row_key, page FROM pt_crawl WHERE page IS NOT NULL)"
     o["text_metadata"] = f"""SELECT row_key, coalesce(nullif({_meta('property', 'og:title')}, ''), nullif(trim(regexp_extract(page, '(?i)<title>([^<]*)</title>', 1)), ''), nullif({_meta('name', 'description')}, ''), '') AS title,
 lower(replace({_meta('property', 'og:description')}, chr(10), ' ')) AS description, coalesce({_icon('apple-touch-icon')}, {_icon('shortcut icon')}, {_icon('icon')}, url || '/favicon.ico') AS icon,
 nullif(lower(regexp_extract(page, '(?i)<html[^>]*\\slang="([^"]*)"', 1)), '') AS language, {_meta('name', 'keywords')} AS keywords FROM (SELECT DISTINCT row_key, url, page FROM pt_crawl WHERE page IS NOT NULL)"""
-    stripped = "page"
-    for pattern in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "(?s)<!--.*?-->", "(?is)<footer.*?</footer>", '(?is)\\son[a-z]+="[^"]*"'):
-        stripped = f"regexp_replace({stripped}, '{pattern}', ' ', 'g')"
-    paragraphs = "coalesce(list_aggregate(regexp_extract_all(page, '(?is)<(?:p|h[1-6])(?:\\s[^>]*)?>(.*?)</(?:p|h[1-6])>', 1), 'string_agg', ' '), '')"
-    o["text_body_letters"] = f"SELECT row_key, {_LETTERS.format(stripped)} AS body, {_LETTERS.format(paragraphs)} AS paragraphs FROM (SELECT DISTINCT row_key, page FROM pt_crawl WHERE page IS NOT NULL)"
+    hidden = "meta head noscript iframe embed object applet link base area map param track wbr".split()
+    body = "page"
+    for pattern, by in (
+        ("(?s)<script.*?>.*?</script>", " "), ("(?s)<style.*?>.*?</style>", " "), ('on\\w+\\s*=\\s*"[^"]*"', " "), ("on\\w+\\s*=\\s*''[^'']*''", " "), ("(?s)<!--.*?-->", " "), ("(?s)<footer.*?>.*?</footer>", " "),
+        ("(?s)" + "|".join(f"<{x}[^>]*>.*?</{x}>" for x in hidden), " "), (f"<({'|'.join(hidden)})[^>]*>", " "), ("(?i)<(div|p|h[1-6]|br)[^>]*>", "\n"), ("<[^>]*>", " "), ("[ \\t\\n\\x0B\\f\\r]+", " "),
+        ("(?i)\\b(privacy policy|terms of service|about us)\\b", " "), ("[.,:;!?''’\"()\\-\\r\\n\\t]", " "), ("[^\\p{L}\\s]", " "),
+    ):
+        body = f"trim(regexp_replace({body}, '{pattern}', '{by}', 'g'))"
+    blocks = "regexp_extract_all(page, '(?s)" + "|".join(f"<{x}.*?>.*?</{x}>" for x in ("p", "h1", "h2", "h3", "h4", "h5", "h6")) + "')"
+    inner = f"coalesce(list_aggregate(list_transform({blocks}, lambda b: regexp_replace(regexp_replace(b, '(?s)^<.*?>', ''), '</(p|h[1-6])>$', '')), 'string_agg', ' '), '')"
+    paragraphs = f"trim(regexp_replace(regexp_replace({inner}, '[^\\p{{L}}\\x0B\\f]', ' ', 'g'), ' +', ' ', 'g'))"
+    o["text_body_letters"] = f"SELECT row_key, lower({body}) AS body, lower({paragraphs}) AS paragraphs FROM (SELECT DISTINCT row_key, page FROM pt_crawl WHERE page IS NOT NULL)"
     o["text_english_pages"] = """SELECT DISTINCT row_key FROM pt_crawl WHERE page IS NOT NULL AND regexp_matches(lower(regexp_extract(page, '(?i)<html[^>]*\\slang="([^"]*)"', 1)), '^en($|-)')"""
     images = """SELECT DISTINCT row_key, regexp_extract(tag, 'src\\s*=\\s*"([^"]*)"', 1) AS src, lower(regexp_extract(tag, 'alt\\s*=\\s*"([^"]*)"', 1)) AS alt FROM (SELECT row_key, unnest(regexp_extract_all(page, '(?i)(<img\\s[^>]*>)', 1)) AS tag FROM pt_crawl WHERE page IS NOT NULL) WHERE regexp_extract(tag, 'src\\s*=\\s*"([^"]*)"', 1) <> ''"""
     o["text_images"] = images

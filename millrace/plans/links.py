@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from millrace.functions.urls import normalized_link, unwanted_link, url_hash
 
-ANCHOR = r"""(?i)<a\s+[^>]*href\s*=\s*['"]?([^'"\s>]+)['"\s>]"""
-ANCHOR_TEXT = r"""(?is)<a\s+[^>]*href\s*=\s*['"]?([^'"\s>]+)['"\s>][^>]*>(.*?)</a>"""
-QUOTED_ANCHOR = r"""(?i)<a\s+[^>]*href=["']([^"']*)["']"""
+#: An attribute ``href`` anywhere in the tag of a link, its value in double, single or no quotes.
+HREF = r"""(?i)<a\s[^>]*?(?<=[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: The same, with quotes only.
+QUOTED_HREF = r"""(?i)<a\s[^>]*?(?<=[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
 def raw_links(page: Column, quoted_only: bool = False) -> Column:
-    return F.regexp_extract_all(page, F.lit(QUOTED_ANCHOR if quoted_only else ANCHOR), F.lit(1))
+    """The addresses of all links of a page, in order."""
+    pattern, groups = (QUOTED_HREF, 2) if quoted_only else (HREF, 3)
+    found = F.regexp_extract_all(page, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda tag: F.concat(*(F.regexp_extract(tag, pattern, k + 1) for k in range(groups))))
 
 
 def links_of(pages: DataFrame, quoted_only: bool = False) -> DataFrame:
@@ -60,10 +64,10 @@ def sinks(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def anchor_texts(pages: DataFrame) -> DataFrame:
     """dst, src, text: the anchor texts from one page to one target in sorted order, joined by <br>."""
-    tag = F.regexp_extract_all("page", F.lit(r"""(?is)(<a\s+[^>]*href\s*=[^>]*>.*?</a>)"""), F.lit(1))
+    tag = F.regexp_extract_all("page", F.lit(HREF + "[^>]*>(?s:.*?)</a>"), F.lit(0))
     found = pages.where("page is not null and url is not null").select("row_key", "url", F.explode(tag).alias("tag"))
     text = F.trim(F.regexp_replace(F.regexp_replace("tag", r"<[^>]*>", " "), r"\s+", " "))
-    linked = found.select("row_key", normalized_link(F.regexp_extract("tag", ANCHOR, 1), F.col("url")).alias("link"), text.alias("text")).where("link is not null and text <> ''")
+    linked = found.select("row_key", normalized_link(F.element_at(raw_links(F.col("tag")), 1), F.col("url")).alias("link"), text.alias("text")).where("link is not null and text <> ''")
     return linked.distinct().groupBy(url_hash(F.col("link")).alias("dst"), F.col("row_key").alias("src")).agg(F.array_join(F.array_sort(F.collect_list("text")), "<br>").alias("text"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,32 +48,58 @@ def converged_share(ranks: DataFrame, eps: float) -> DataFrame:
 
 
 def pagerank(
-    pages: DataFrame, edges: DataFrame, eps: float = 0.01, percent: float = 100.0, max_rounds: int = 100, decay: float = 0.85, sink_spread: bool = False, without_sources: bool = False, cut_every: int = 5, rounds: int | None = None, **weights
+    pages: DataFrame,
+    edges: DataFrame,
+    eps: float = 0.01,
+    percent: float = 100.0,
+    max_rounds: int | None = None,
+    decay: float = 0.85,
+    sink_spread: bool = False,
+    without_sources: bool = False,
+    cut_every: int = 5,
+    rounds: int | None = None,
+    sticky: bool = False,
+    **weights,
 ) -> DataFrame:
     """row_key, rank, from 1 for each page until ``percent`` of the pages change by less than ``eps``, or for exactly ``rounds``.
 
-    With ``without_sources`` only pages with inbound links have a rank, and every one of them gets decay squared for each page without. With ``sink_spread`` pages without links hand decay * rank / N to all. A page without links to it ends at 1 - decay. No pages give no ranks.
+    With ``sticky`` a page that changed by at most ``eps`` once counts as converged from then on. With ``without_sources`` only pages with inbound links have a rank, and every one
+    of them gets decay squared for each page without. With ``sink_spread`` pages without links hand decay * rank / N to all. A page without links to it ends at 1 - decay. No pages
+    give no ranks. Ranks that have not converged after ``max_rounds``, where that is given, are an error.
+
+    The edges stay partitioned by their source while the rounds last, so that a round shuffles ranks and partial sums, never the edges.
     """
     nodes = pages.where("row_key is not null").select("row_key").distinct()
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lift = 0.0
     if without_sources:
         targets = edges.select(F.col("dst").alias("row_key")).distinct()
         lift = decay * decay * nodes.join(targets, "row_key", "left_anti").count()
         nodes = nodes.join(targets, "row_key", "left_semi")
-    e = cut(weighted_edges(nodes, edges, decay, **weights))
-    ranks = cut(nodes.withColumns({"rank": F.lit(1.0), "prev": F.lit(0.0)}))
+    e = cut(weighted_edges(nodes, edges, decay, **weights)).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    ranks = cut(nodes.withColumns({"rank": F.lit(1.0), "prev": F.lit(0.0), "calm": F.lit(False)}))
     if sink_spread:
         n = max(1, ranks.count())
         idle = cut(nodes.join(edges.select(F.col("src").alias("row_key")).distinct(), "row_key", "left_anti"))
-    for k in range(1, (rounds or max_rounds) + 1):
+    for k in count(1):
         base = 1 - decay + lift
         if sink_spread:
             base += decay * (ranks.join(idle, "row_key", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]) / n
-        ranks = step(ranks.select("row_key", "rank"), e, decay, base)
-        if rounds is None or k % cut_every == 0:  # the stop rule reads every round
+        after = step(ranks.select("row_key", "rank"), e, decay, base)
+        if sticky:
+            after = after.join(ranks.select("row_key", F.col("calm").alias("_calm")), "row_key").withColumn("calm", F.col("_calm") | (F.abs(F.col("rank") - F.col("prev")) <= eps)).drop("_calm")
+        ranks = after
+        if rounds is None or k % cut_every == 0 or k == rounds:  # the stop rule reads every round
             ranks = cut(ranks)
-        if rounds is None and ((got := converged_share(ranks, eps).first()[0]) is None or got >= percent):
+        if rounds is None:
+            share = ranks.agg(F.avg(F.col("calm").cast("double")) * 100) if sticky else converged_share(ranks, eps)
+            if (got := share.first()[0]) is None or got >= percent:
+                break
+            if k == max_rounds:
+                raise RuntimeError(f"{got:.2f} % of the pages have converged after {k} rounds")
+        elif k == rounds:
             break
+    e.unpersist()
     return ranks.select("row_key", "rank")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 class Fetcher(Protocol):
-    """Fetches a frame with a column url; adds responsecode, contenttype, page, location (of a redirect) and fetched_at."""
+    """Fetches a frame with a column url; adds responsecode, contenttype, page, location (of a redirect), retry_after (seconds), error and fetched_at."""
 
     def fetch(self, urls: DataFrame) -> DataFrame: ...
 
@@ -24,17 +24,23 @@ class TableFetcher:
 
     def fetch(self, urls: DataFrame) -> DataFrame:
         have = self.pages.groupBy("url").agg(F.max(F.struct("fetched_at", "responsecode", "contenttype", "page")).alias("_p"))
-        return urls.select("url").distinct().join(have, "url", "left").select("url", F.coalesce("_p.responsecode", F.lit("404")).alias("responsecode"), "_p.contenttype", "_p.page", F.lit(None).cast("string").alias("location"), "_p.fetched_at")
+        none = F.lit(None)
+        return urls.select("url").distinct().join(have, "url", "left").select(
+            "url", F.coalesce("_p.responsecode", F.lit("404")).alias("responsecode"), "_p.contenttype", "_p.page", none.cast("string").alias("location"), none.cast("double").alias("retry_after"), none.cast("string").alias("error"), "_p.fetched_at"
+        )
 
 
 class HttpFetcher:
-    """Fetches with the standard library, without following redirects, in as many tasks as the frame has partitions."""
+    """Fetches whole bodies with the standard library, without following redirects, in as many tasks as the frame has partitions.
 
-    def __init__(self, agent: str, timeout: float = 3.0, most_bytes: int = 5_000_000):
-        self.agent, self.timeout, self.most = agent, timeout, most_bytes
+    Whatever goes wrong with an address, a bad url, an unknown charset or a broken answer, is its ``error`` and leaves the others alone; its responsecode is 0 if there was none.
+    """
+
+    def __init__(self, agent: str, timeout: float = 3.0):
+        self.agent, self.timeout = agent, timeout
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        agent, timeout, most = self.agent, self.timeout, self.most
+        agent, timeout = self.agent, self.timeout
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import urllib.error
@@ -45,19 +51,34 @@ class HttpFetcher:
                     return None
 
             opener = urllib.request.build_opener(Stay)
+
+            def decoded(body: bytes, charset: str | None) -> tuple[str, str | None]:
+                try:
+                    return body.decode(charset or "utf-8", "replace"), None
+                except LookupError:
+                    return body.decode("utf-8", "replace"), f"unknown charset {charset}"
+
+            def wait_of(value: str | None) -> float | None:
+                try:
+                    return float(value) if value else None
+                except ValueError:
+                    return None  # a date; the default pause serves
+
             for batch in batches:
                 rows = []
                 for url in batch["url"]:
                     try:
                         with opener.open(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
-                            rows.append((url, str(r.status), r.headers.get("Content-Type"), r.read(most).decode(r.headers.get_content_charset() or "utf-8", "replace"), None))
+                            page, error = decoded(r.read(), r.headers.get_content_charset())
+                            rows.append((url, str(r.status), r.headers.get("Content-Type"), page, None, None, error))
                     except urllib.error.HTTPError as e:
-                        rows.append((url, str(e.code), None, None, e.headers.get("Location")))
-                    except OSError:
-                        rows.append((url, "0", None, None, None))
-                yield pd.DataFrame(rows, columns=["url", "responsecode", "contenttype", "page", "location"]).assign(fetched_at=pd.Timestamp.now())
+                        rows.append((url, str(e.code), None, None, e.headers.get("Location"), wait_of(e.headers.get("Retry-After")), None))
+                    except Exception as e:  # noqa: BLE001 one bad address must not fail the others
+                        rows.append((url, "0", None, None, None, None, f"{type(e).__name__}: {e}"))
+                out = pd.DataFrame(rows, columns=["url", "responsecode", "contenttype", "page", "location", "retry_after", "error"]).astype({"retry_after": "float64"})
+                yield out.assign(fetched_at=pd.Timestamp.now())
 
-        return urls.select("url").distinct().mapInPandas(run, "url string, responsecode string, contenttype string, page string, location string, fetched_at timestamp_ntz")
+        return urls.select("url").distinct().mapInPandas(run, "url string, responsecode string, contenttype string, page string, location string, retry_after double, error string, fetched_at timestamp_ntz")
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +146,13 @@ def ip_address(s: Column) -> Column:
     return s.rlike(rf"^({part}\.){{3}}{part}$") | s.rlike(r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
 
 
+# The names of WMO weather codes, first and last code of each; all others are unknown.
+WEATHER = ((0, 0, "Clear sky"), (1, 3, "Partly cloudy"), (51, 57, "Drizzle"), (61, 65, "Rain"), (71, 77, "Snow"), (80, 82, "Rain showers"), (95, 99, "Thunderstorm"))
+
+
 def weather_text(code: Column) -> Column:
     """The name of a WMO weather code."""
-    return (
-        F.when(code == 0, "Clear sky").when(code.between(1, 3), "Partly cloudy").when(code.isin(45, 48), "Fog").when(code.between(51, 57), "Drizzle").when(code.between(61, 67), "Rain")
-        .when(code.between(71, 77), "Snow").when(code.between(80, 82), "Rain showers").when(code.isin(85, 86), "Snow showers").when(code.between(95, 99), "Thunderstorm").otherwise("Unknown")
-    )
+    out = F.lit("Unknown")
+    for low, high, name in WEATHER:
+        out = F.when(code.between(low, high), name).otherwise(out)
+    return out

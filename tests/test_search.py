@@ -50,7 +50,7 @@ def test_bands_and_titles(spark):
     assert one(spark, S.title_match(F.lit(""), F.lit(""), ["library"])) == 0
 
 
-def test_search_end_to_end(spark):
+def test_search_end_to_end(spark, tmp_path):
     pages = spark.createDataFrame([("d1", "Red boats", "u1", None, "red boats sail far"), ("d2", "Other", "u2", "x", "boats far away are red"), ("d3", None, None, None, "green boats"), ("d4", "n", "u", "d", None)], "doc string, title string, url string, description string, text string")
     from millrace.plans import index as I
 
@@ -62,6 +62,17 @@ def test_search_end_to_end(spark):
     assert S.search("nothing-here", index, pages, ranks).count() == 0
     assert S.search("Red-boats", index, pages, ranks, offset=1).count() == 1
     assert S.search("red", index, pages.limit(0), ranks.limit(0)).count() == 2
+    # the same from a stored index and stored pages, of which only the buckets of the words and results are read
+    kept = I.store_index(index, str(tmp_path / "index"), 8)
+    texts = I.store_pages(pages, str(tmp_path / "pages"), 8)
+    assert kept.documents == 3 and S.search("Red-boats", kept, texts, ranks).collect() == rows
+    plan = S.of_words(kept, ["red"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket").replace("PartitionFilters: [(bucket", "PartitionFilters: [bucket") or "bucket" in plan.split("PartitionFilters:")[1][:60]
+    assert S.of_words(kept, []).count() == 0 and texts.of([]).count() == 0
+    assert S.search("red-red-boats", index, pages, ranks, query_tf=True, drop=None).collect()[0]["tfidf"] > rows[0]["tfidf"]
+    near = {r["doc"]: r["score"] for r in S.place_search(kept, spark.createDataFrame([("d1", "19104"), ("d2", "500")], "row_key string, zip string"), ["red", "boats"], 19104).collect()}
+    assert near["d1"] == pytest.approx(2 + S.phrase_score([0, 1])) and near["d2"] < near["d1"]
+    assert {r["doc"]: r["lists"] for r in S.positions_of(index, ["red", "far"]).collect()}["d1"] == {"red": [0], "far": [3]}
 
 
 def test_suggestions(spark):
@@ -93,8 +104,42 @@ def test_crawl_loop(spark):
     pages = [("http://a.org:80/", "200", '<a href="/b">b</a><a href="http://bad.org/">q</a>'), ("http://a.org:80/b", "200", '<a href="/">up</a> <a href="/gone">g</a>')]
     table = spark.createDataFrame([(u, c, "text/html", p, None) for u, c, p in pages], "url string, responsecode string, contenttype string, page string, fetched_at timestamp_ntz")
     seeds = spark.createDataFrame([("http://a.org:80/",)], "url string")
-    got = {r["url"]: r["responsecode"] for r in C.crawl(seeds, X.TableFetcher(table), rounds=5).collect()}
+    got = {r["url"]: r["responsecode"] for r in C.crawl(seeds, X.TableFetcher(table)).pages.collect()}
     assert got == {"http://a.org:80/": "200", "http://a.org:80/b": "200", "http://a.org:80/gone": "404"}
+    short = C.crawl(seeds, X.TableFetcher(table), rounds=1)
+    assert [r["url"] for r in short.pages.collect()] == ["http://a.org:80/"] and {r["url"] for r in short.frontier.collect()} >= {"http://a.org:80/b"}
+
+
+def test_crawl_obeys_robots_and_pauses(spark):
+    links = "".join(f'<a href="/p{i}">x</a>' for i in range(12)) + '<a href="/private/x">x</a>'
+    pages = [("http://a.org:80/robots.txt", "User-agent: *\nDisallow: /private\nCrawl-delay: 3"), ("http://a.org:80/", links), *((f"http://a.org:80/p{i}", "page") for i in range(12))]
+    table = spark.createDataFrame([(u, "200", "text/html", p, None) for u, p in pages], "url string, responsecode string, contenttype string, page string, fetched_at timestamp_ntz")
+    seeds = spark.createDataFrame([("http://a.org:80/",)], "url string")
+    clock = C.StepClock()
+    began = clock.now()
+    got = {r["url"]: r["responsecode"] for r in C.crawl(seeds, X.TableFetcher(table), clock=clock, per_host=4).pages.collect()}
+    assert got["http://a.org:80/private/x"] == "robots" and sum(c == "200" for c in got.values()) == 13  # more than ten pages of one host
+    assert (clock.now() - began).total_seconds() >= 3 * 3
+
+
+class Busy:
+    """Answers 429 to the first call, then as the table does."""
+
+    def __init__(self, table):
+        self.table, self.calls = table, 0
+
+    def fetch(self, urls):
+        out = X.TableFetcher(self.table).fetch(urls)
+        self.calls += 1
+        return out.withColumns({"responsecode": F.lit("429"), "retry_after": F.lit(7.0)}) if self.calls == 1 else out
+
+
+def test_crawl_backs_off(spark):
+    table = spark.createDataFrame([("http://a.org:80/", "200", "text/html", "page", None)], "url string, responsecode string, contenttype string, page string, fetched_at timestamp_ntz")
+    clock = C.StepClock()
+    began = clock.now()
+    got = C.crawl(spark.createDataFrame([("http://a.org:80/",)], "url string"), Busy(table), robots=False, clock=clock)
+    assert [r["responsecode"] for r in got.pages.collect()] == ["200"] and (clock.now() - began).total_seconds() >= 7 and got.frontier.count() == 0
 
 
 def test_lookups(spark):
@@ -113,7 +158,7 @@ def test_lookups(spark):
 def test_text_functions(spark):
     assert one(spark, T.valid_word(F.lit("tree"))) and not one(spark, T.valid_word(F.lit("treee"))) and not one(spark, T.valid_word(F.lit("ab"))) and not one(spark, T.valid_word(F.lit("a1b")))
     assert one(spark, T.named_places(F.lit("from New York, to Boston"), ["Boston", "New York", "York", "Paris"])) == ["Boston", "New York", "York"]
-    assert one(spark, T.zip_codes(F.lit("ZIP code: 19104 and zip 12"))) == ["19104"]
+    assert one(spark, T.zip_codes(F.lit("ZIP code: 19104 and zip 12"))) == ["zip code: 19104"]
     assert one(spark, T.images_html(F.array(F.lit("a"), F.lit("b")))) == '<img src="a"><img src="b">'
     assert one(spark, T.file_title(F.lit(None).cast("string"), F.lit("http://www.a.org/x/report.pdf?v=1"))) == "report PDF from a.org"
     assert one(spark, T.min_max(F.lit(3.0), F.lit(3.0), F.lit(3.0))) == 0.5
@@ -121,7 +166,21 @@ def test_text_functions(spark):
     assert one(spark, U.root_url(F.lit("http://a/b?c#d"))) == "http://a/b"
     assert one(spark, U.host_of(F.lit("nonsense"))) == "Unknown" and one(spark, U.top_domain(F.lit("http://a.b.c:80/x"))) == "b.c"
     assert [one(spark, X.ip_address(F.lit(i))) for i in ("1.2.3.4", "256.1.1.1", "1:2:3:4:5:6:7:8")] == [True, False, True]
-    assert one(spark, X.weather_text(F.lit(65))) == "Rain"
+    assert [one(spark, X.weather_text(F.lit(c))) for c in (0, 3, 45, 57, 65, 66, 77, 82, 85, 99)] == ["Clear sky", "Partly cloudy", "Unknown", "Drizzle", "Rain", "Unknown", "Snow", "Rain showers", "Unknown", "Thunderstorm"]
+    assert T.query_terms("The-Libraries-of-the-town", frozenset({"the", "of"}), {"libraries": "library"}) == ["library", "town"] and T.query_terms("the", frozenset({"the"})) == ["the"]
+    assert T.query_counts("red-boat-red") == {"red": 2, "boat": 1}
+    page = F.lit('<meta property="og:latitude" content="1.5"><meta property="og:longitude" content="2">')
+    assert one(spark, T.page_location(page)) == "1.5,2" and one(spark, T.page_location(F.lit("<p>"))) == ""
+    assert [one(spark, U.unwanted_link(F.lit(u))) for u in ("http://x.org/AD/1", "https://www.nbcnews.com:443/select/a", "http://x.org/?u=mailto:z", "http://x.org/mill")] == [True, True, True, False]
+    assert [round(one(spark, U.domain_drop_share(F.lit(u))), 1) for u in ("http://a.org:80/x", "http://a.io/x", "http://a.test/x")] == [0.1, 0.3, 0.8]
+    assert one(spark, U.random_looking(F.lit("http://a.org/1/2/3/4/abcdefghijk"))) and not one(spark, U.random_looking(F.lit("http://a.org/abcdefghijk")))
+
+
+def test_letters_of_all_scripts(spark):
+    page = F.lit("<head><title>no</title></head><p onclick='x()'>Übermäßig schön été</p><script>var a</script><noscript>off</noscript><p>Книга, Privacy Policy!</p><footer>end</footer>")
+    assert one(spark, T.body_letters(page)).split() == "übermäßig schön été книга".split()
+    assert one(spark, T.paragraph_letters(F.lit("<h1>Été 5</h1>x<p class=a>Книга <b>и</b> кот</p>"))) == "été книга b и b кот"
+    assert one(spark, T.sanitized(F.lit("L'été, №5: Книга\u00a0да"))) == "L'été 5 Книга да"
 
 
 def test_visible_text():
