@@ -166,7 +166,7 @@ def combined(scores: dict[str, Column], weights: dict[str, float] | None = None)
 
 def snippet(text: Column, positions: Column, length: int = 60) -> Column:
     """``length`` words around the first position, words whose first occurrence is a position in bold; the first words where there is no position."""
-    words = F.split(text, r"\s+")
+    words = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
     start = F.when(F.size(positions) > 0, F.greatest(F.lit(0), F.element_at(positions, 1) - length // 2)).otherwise(F.lit(0))
     part = F.slice(words, start + 1, F.lit(length))
     mark = lambda w: F.when(F.array_contains(positions, (F.array_position(words, w) - 1).cast("int")), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)
@@ -194,6 +194,7 @@ def search(
     stop_words: frozenset[str] = frozenset(),
     lemmas: dict[str, str] | None = None,
     query_tf: bool = False,
+    tolerance: int | None = None,
 ) -> DataFrame:
     """The ranked page of results: doc, score, tfidf, rank, title_score, phrase, title, url, snippet.
 
@@ -222,7 +223,7 @@ def search(
     rows = best.join(tf, "doc").join(_heads(among(pages, best)), "doc", "left").withColumn("title_score", title_match(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), words))
     scores = {"tfidf": F.col("tfidf"), "rank": F.col("rank"), "title": F.col("title_score")}
     if phrase:
-        rows = rows.join(phrase_scores(among(own, best), words).select("doc", "best", "phrase"), "doc", "left").withColumns({"phrase": F.coalesce("phrase", F.lit(0.0)), "best": F.coalesce("best", F.array().cast("array<int>"))})
+        rows = rows.join(phrase_scores(among(own, best), words, tolerance).select("doc", "best", "phrase"), "doc", "left").withColumns({"phrase": F.coalesce("phrase", F.lit(0.0)), "best": F.coalesce("best", F.array().cast("array<int>"))})
         scores["phrase"] = F.col("phrase")
     else:
         rows = rows.withColumns({"phrase": F.lit(0.0), "best": F.array().cast("array<int>")})

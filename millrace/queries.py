@@ -19,6 +19,7 @@ from millrace.plans import rank as R
 from millrace.plans import search as S
 from millrace.plans import suggest as Q
 from millrace.sources import fetch as X
+from millrace.session import stored_folder
 from millrace.sources.html import main_text, visible_text
 
 REGISTRY: dict = {}
@@ -98,12 +99,15 @@ def bag_count(spark, d):
 
 @query
 def bag_take(spark, d):
-    return B.take(docs_bag(spark, d), 25)
+    """Which 25 is open, how many is not."""
+    return B.take(docs_bag(spark, d), 25).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def bag_sample(spark, d):
-    return B.sample(docs_bag(spark, d), 0.25, 7)
+    """Which elements is open, their share is not."""
+    bag = docs_bag(spark, d)
+    return B.sample(bag, 0.25, 7).agg((F.abs(F.count(F.lit(1)) / bag.agg(F.count(F.lit(1))).scalar() - 0.25) < 0.02).alias("as_asked"))
 
 
 @query
@@ -114,8 +118,8 @@ def bag_map_partitions(spark, d):
 
 @query
 def bag_groupby_first(spark, d):
-    names = t(spark, d, "nation").select(F.col("n_name").alias("value"))
-    return B.group_by(names, F.substring("value", 1, 1))
+    """The vocabulary by first letters."""
+    return B.group_by(B.distinct(docs_bag(spark, d)), F.substring("value", 1, 1))
 
 
 @query
@@ -144,7 +148,7 @@ def pair_foldbykey_sum(spark, d):
 @query
 def pair_foldbykey_ordered(spark, d):
     """A fold whose result depends on order: values joined by dashes, sorted."""
-    p = t(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    p = t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("key"), F.col("s_name").alias("value"))
     return P.fold_by_key_ordered(p, F.lit(""), lambda acc, v: F.concat(acc, F.lit("-"), v))
 
 
@@ -186,6 +190,21 @@ def pair_flatmap(spark, d):
     return P.flat_map(p, words_array("value"))
 
 
+@query
+def bag_flatmap_to_pair(spark, d):
+    """Each word of a text with its length, and its first letter with the word."""
+    words = t(spark, d, "eval_items").select(F.explode(words_array("text")).alias("value"))
+    pair = lambda k, v: F.struct(k.cast("string").alias("key"), v.cast("string").alias("value"))
+    return B.flat_map_to_pair(words, F.array(pair(F.col("value"), F.length("value")), pair(F.substring("value", 1, 1), F.col("value"))))
+
+
+@query
+def pair_flatmap_to_pair(spark, d):
+    """The words of every title as pairs with their page."""
+    p = t(spark, d, "pt_processed").where("title is not null").select(F.col("row_key").alias("key"), F.col("title").alias("value"))
+    return P.flat_map_to_pair(p, F.transform(words_array("value"), lambda w: F.struct(w.alias("key"), F.col("key").alias("value"))))
+
+
 # Key-value tables
 
 
@@ -221,6 +240,28 @@ def kv_put(spark, d):
     return K.latest(K.put(c, new))
 
 
+def nation_cells(spark, d):
+    return t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("row_key"), F.lit("nation").alias("col"), F.col("n_name").alias("value"))
+
+
+@query
+def kv_put_where(spark, d):
+    """Written only to the rows whose latest click is the event 5000 or whose value of the column is another."""
+    c = cells(spark, d)
+    kind = K.latest(c).where("row_key = '7'").agg(F.max(F.struct("col", "value")).alias("m")).first()["m"]
+    return K.latest(K.put_where(c, nation_cells(spark, d), kind["col"], kind["value"]))
+
+
+@query
+def kv_put_rows(spark, d):
+    return K.latest(K.put_rows(cells(spark, d), nation_cells(spark, d)))
+
+
+@query
+def kv_get_cell(spark, d):
+    return K.get(cells(spark, d), "7", "click")
+
+
 @query
 def kv_view_page(spark, d):
     page = K.view(cells(spark, d), "3", 10)
@@ -291,6 +332,23 @@ def text_images(spark, d):
     return I.images_of(t(spark, d, "pt_crawl"))
 
 
+@query
+def text_valid_words(spark, d):
+    return B.distinct(docs_bag(spark, d)).where(T.valid_word(F.col("value")))
+
+
+@query
+def text_images_html(spark, d):
+    sources = I.images_of(t(spark, d, "pt_crawl")).groupBy("row_key").agg(F.array_sort(F.collect_set("src")).alias("s"))
+    return sources.select("row_key", T.images_html(F.col("s")).alias("html"))
+
+
+@query
+def text_places(spark, d):
+    x = t(spark, d, "pt_processed").where("text is not null").select("row_key", "text").distinct()
+    return x.select("row_key", F.array_join(T.named_places(F.col("text"), ["Library", "Museum", "Storage"]), ",").alias("places")).where("places <> ''")
+
+
 @query
 def text_scores(spark, d):
     c = t(spark, d, "customer")
@@ -336,6 +394,12 @@ def url_depth(spark, d):
     return t(spark, d, "pt_crawl").select("url").distinct().select("url", F.round(U.depth_drop_share(u), 6).alias("share"))
 
 
+@query
+def url_drop_shares(spark, d):
+    u = F.col("url")
+    return t(spark, d, "pt_crawl").select("url").distinct().select("url", U.domain_drop_share(u).alias("share"), U.random_looking(u).alias("random"))
+
+
 @query
 def url_blacklist(spark, d):
     patterns = spark.createDataFrame([(p,) for p in BLACKLIST], "pattern string")
@@ -350,6 +414,7 @@ def url_robots_rules(spark, d):
 @query
 def url_robots_allowed(spark, d):
     rules = X.host_rules(t(spark, d, "pt_hosts").where("host is not null"), "host")
+    """Addresses that the hosts' robots files allow."""
     u = F.col("url")
     urls = t(spark, d, "pt_crawl").select("url").distinct().select("url", F.lower(F.regexp_extract(u, r"^[a-z]+://([^/:]+)", 1)).alias("key"), U.url_parts(u)["path"].alias("path"))
     return X.allowed_paths(urls, rules, "millrace").select("url")
@@ -377,8 +442,21 @@ def idx_positions(spark, d):
 
 @query
 def idx_posting_lists(spark, d):
-    """The one-string form for the words of the short table of evaluation passages."""
-    return I.posting_lists(I.tokens_by_space(t(spark, d, "eval_items"), "item_id", "text"))
+    """The one-string form."""
+    return I.posting_lists(tokens(spark, d))
+
+
+@query
+def idx_posting_parts(spark, d):
+    """The form in parts: how many a word has, and its documents in all of them."""
+    parts = I.posting_lists(tokens(spark, d), 100)
+    return parts.groupBy("word").agg((F.max("part") + 1).alias("parts"), F.sum(F.size(F.split("postings", ","))).alias("docs"))
+
+
+@query
+def idx_word_documents(spark, d):
+    """The documents of each word, once for each occurrence."""
+    return I.document_word_lists(tokens(spark, d), 1 << 40)
 
 
 @query
@@ -400,7 +478,7 @@ def idx_stemmed(spark, d):
 @query
 def idx_augmented_tf(spark, d):
     i = I.served_index(tokens_together(spark, d))
-    return i.select("word", "doc", "tf", F.round("doc_tf", 6).alias("doc_tf"), F.size("positions").alias("kept"))
+    return i.select("word", "doc", "tf", F.round("doc_tf", 6).alias("doc_tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
 
 
 @query
@@ -466,17 +544,35 @@ def page_canonical(spark, d):
 # Search
 
 
-def served(spark, d):
-    pages = t(spark, d, "pt_processed").where("text is not null").groupBy("row_key").agg(F.max("text").alias("text"))
-    return I.served_index(I.tokens_by_space(pages, "row_key", "text", together=True))
+_STORES: dict = {}
+
 
+def stored_once(spark, d: str, kind: str, write):
+    """What ``write`` stores for a folder, once for each application; searches then read it."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _STORES:
+        _STORES[key] = write(f"{stored_folder(spark)}-{kind}-{len(_STORES)}")
+    return _STORES[key]
 
-def page_details(spark, d):
-    return t(spark, d, "pt_processed").select(F.col("row_key").alias("doc"), "title", "url", "description", "text")
 
+def served(spark, d) -> I.StoredIndex:
+    """The stored index of the processed pages."""
 
-def plain_index(spark, d):
-    return I.served_index(tokens_together(spark, d))
+    def write(path):
+        pages = t(spark, d, "pt_processed").where("text is not null").groupBy("row_key").agg(F.max("text").alias("text"))
+        return I.store_index(I.served_index(I.tokens_by_space(pages, "row_key", "text", together=True)), path)
+
+    return stored_once(spark, d, "served", write)
+
+
+def page_details(spark, d) -> I.StoredPages:
+    rows = t(spark, d, "pt_processed").select(F.col("row_key").alias("doc"), "title", "url", "description", "text")
+    return stored_once(spark, d, "pages", lambda path: I.store_pages(rows, path))
+
+
+def plain_index(spark, d) -> I.StoredIndex:
+    """The stored index of the documents."""
+    return stored_once(spark, d, "plain", lambda path: I.store_index(I.served_index(tokens_together(spark, d)), path))
 
 
 @query
@@ -518,7 +614,8 @@ def search_phrase_span(spark, d):
 
 @query
 def search_phrase(spark, d):
-    return S.phrase_scores(plain_index(spark, d), list(WORDS), tolerance=0).select("doc", "span")
+    p = S.phrase_scores(plain_index(spark, d), list(WORDS), tolerance=0)
+    return p.select("doc", "span", F.round("phrase", 6).alias("phrase"), F.array_join(F.transform("best", lambda x: x.cast("string")), " ").alias("best"))
 
 
 @query
@@ -528,35 +625,76 @@ def search_phrase_compat(spark, d):
 
 @query
 def search_snippet(spark, d):
-    docs = t(spark, d, "pt_processed").where("text is not null").groupBy("row_key").agg(F.max("text").alias("text"))
-    return docs.select("row_key", S.snippet(F.col("text"), F.array().cast("array<int>"), 12).alias("snippet"))
+    """Twelve words around the first place of a word, in bold; the first twelve where it is missing."""
+    docs = t(spark, d, "pt_processed").where("text is not null").groupBy(F.col("row_key").alias("doc")).agg(F.max("text").alias("text"))
+    at = docs.join(S.keyword(served(spark, d), WORDS[0]), "doc", "left").withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
+    return at.select("doc", S.snippet(F.col("text"), F.col("positions"), 12).alias("snippet"))
+
+
+def shown(r: DataFrame) -> DataFrame:
+    """A page of results with rounded scores."""
+    return r.select("doc", *(F.round(c, 6).alias(c) for c in ("score", "tfidf", "rank", "title_score", "phrase")), "title", "url", "snippet")
 
 
 @query
 def search_v1(spark, d):
     """The first version: other weights, no cut of the candidates that matters here."""
-    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[1], drop=100_000, candidates=100_000)
-    return r.select("doc", F.round("score", 6).alias("score"))
+    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[1], drop=None, candidates=100_000)
+    return shown(r)
 
 
 @query
 def search_combined(spark, d):
     """Top ten by term frequencies, rank and title."""
-    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), drop=100_000, candidates=200, phrase=False)
-    return r.select("doc", F.round("score", 6).alias("score"), F.round("tfidf", 6).alias("tfidf"), F.round("title_score", 6).alias("title_score"))
+    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), drop=None, candidates=200, phrase=False)
+    return shown(r)
 
 
 @query
 def search_page(spark, d):
-    """The second page of the final version, with phrases and snippets."""
-    return S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), offset=10, limit=10)
+    """The second page of the final version, with phrases and snippets, of all candidates."""
+    r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), offset=10, limit=10, drop=None)
+    return shown(r)
+
+
+@query
+def search_v2(spark, d):
+    """The second version, in which a word weighs as often as it stands in the query; the second page of it."""
+    r = S.search(f"{QUERY}-{WORDS[0]}", served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[2], drop=None, candidates=100_000, offset=10, query_tf=True)
+    return shown(r)
+
+
+@query
+def search_v5(spark, d):
+    """The fifth version, without phrases."""
+    return shown(S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[5], drop=None, candidates=200, phrase=False))
 
 
 @query
 def search_v4(spark, d):
     """The fourth version: candidates of many domains."""
     r = S.search(QUERY, served(spark, d), page_details(spark, d), t(spark, d, "pt_pgrk"), S.VERSIONS[4], candidates=30, diverse=True)
-    return r.select("doc", F.round("score", 6).alias("score"))
+    return shown(r)
+
+
+@query
+def search_cosine(spark, d):
+    return S.cosine_scores(plain_index(spark, d), I.frequencies(tokens(spark, d)), list(WORDS)).select("doc", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def search_positions(spark, d):
+    """The places of several words in each document."""
+    lists = S.positions_of(plain_index(spark, d), list(WORDS))
+    one = F.transform(F.map_entries("lists"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda p: p.cast("string")), " ")))
+    return lists.select("doc", F.array_join(F.array_sort(one), ";").alias("lists"))
+
+
+@query
+def search_details(spark, d):
+    """Titles and urls of ranked pages, empty where unknown."""
+    heads = t(spark, d, "pt_processed").groupBy(F.col("row_key").alias("url_hash")).agg(F.max("title").alias("title"), F.max("url").alias("url"))
+    return L.with_details(L.best_ranks(t(spark, d, "pt_pgrk")).select("url_hash"), heads, "url_hash", ["title", "url"])
 
 
 @query
@@ -588,7 +726,8 @@ def search_diverse_topk(spark, d):
 @query
 def search_location(spark, d):
     places = t(spark, d, "pt_crawl").where("ip is not null").select("row_key", F.regexp_extract("ip", r"([0-9]+)$", 1).alias("zip")).distinct()
-    return S.place_search(served(spark, d), places, ["library"], 100)
+    found = S.place_search(served(spark, d), places, list(WORDS), 100)
+    return found.select("doc", F.round("score", 6).alias("score"), F.array_join(F.transform("best", lambda x: x.cast("string")), " ").alias("best"))
 
 
 @query
@@ -601,6 +740,11 @@ def search_image_fuzzy(spark, d):
     return S.image_search(idx_image(spark, d), ["small", "widget", "red"], all_words=False)
 
 
+@query
+def search_image_list(spark, d):
+    return S.images_of_word(idx_image(spark, d), "Widget")
+
+
 @query
 def search_documents(spark, d):
     pdf = t(spark, d, "documents").where("source = 'pdf'")
@@ -657,9 +801,15 @@ def graph_pagerank(spark, d):
     return R.pagerank(t(spark, d, "pt_crawl"), graph(spark, d), rounds=4).select("row_key", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
+@query
+def graph_pagerank_sticky(spark, d):
+    """Until every page has once changed by at most a tenth."""
+    return R.pagerank(t(spark, d, "pt_crawl"), graph(spark, d), eps=0.1, sticky=True).select("row_key", F.round(F.col("rank") + 1e-9, 5).alias("rank"))
+
+
 @query
 def graph_pagerank_converged(spark, d):
-    return R.pagerank(t(spark, d, "pt_crawl"), graph(spark, d), eps=0.01).select("row_key", F.round("rank", 6).alias("rank"))
+    return R.pagerank(t(spark, d, "pt_crawl"), graph(spark, d), eps=0.01).select("row_key", F.round(F.col("rank") + 1e-9, 5).alias("rank"))
 
 
 def domains(spark, d):
@@ -722,6 +872,19 @@ def suggest_last(spark, d):
     return Q.corrected_last(Q.vocabulary(tokens(spark, d)), "the harbor", 5)
 
 
+@query
+def suggest_query(spark, d):
+    """Every word of a query replaced by its nearest one."""
+    return spark.createDataFrame([(Q.corrected(Q.vocabulary(tokens(spark, d)), "libary of harbor 42", frozenset({"of"})),)], "corrected string")
+
+
+@query
+def suggest_exists(spark, d):
+    words = Q.vocabulary(tokens(spark, d))
+    asked = ["library", "libary", "li", "qqq"]
+    return spark.createDataFrame([(w, Q.contains(words, w), Q.starts_any(words, w)) for w in asked], "word string, known boolean, begins boolean")
+
+
 @query
 def ngram_next(spark, d):
     return Q.transitions(tokens(spark, d), 2)
@@ -753,6 +916,14 @@ def crawl_frontier_step(spark, d):
     return C.frontier_step(links, crawl, t(spark, d, "pt_hosts"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), crawl.where("responsecode = '200'").select("url"), patterns)
 
 
+@query
+def crawl_loop(spark, d):
+    """A whole crawl from the least address of each host, answered from the table of pages."""
+    pages = t(spark, d, "pt_crawl")
+    seeds = pages.groupBy(U.host_of(F.col("url")).alias("host")).agg(F.min("url").alias("url")).select("url")
+    return C.crawl(seeds, X.TableFetcher(pages), per_host=None, robots=False, clock=C.StepClock()).pages.select("url", "responsecode")
+
+
 @query
 def crawl_fetch_table(spark, d):
     links = G.listed_links(t(spark, d, "pt_processed")).select(F.col("link").alias("url"))

@@ -31,6 +31,20 @@ def test_writes(spark):
     assert found(K.latest(K.put_rows(c, new))) == [("a", "x", "9"), ("b", "x", "4"), ("n", "x", "8")]
 
 
+def test_versions_are_raised(spark):
+    new = lambda v: spark.createDataFrame([("r", "c", v)], "row_key string, col string, value string")
+    c = K.put(K.put(cells(spark, []), new("zebra")), new("apple"))
+    assert K.get(c, "r", "c").first()["value"] == "apple"
+    rows = K.put_rows(cells(spark, [("r", "c", "z", 7), ("r", "d", "z", 3)]), new("a"))
+    assert [(r["col"], r["value"], r["version"]) for r in rows.collect()] == [("c", "a", 8)]
+    s = K.Store(spark)
+    s.delete("kv_raise")
+    for v in ("zebra", "apple"):
+        s.put("kv_raise", new(v))
+    assert K.get(s.read("kv_raise"), "r", "c").first()["value"] == "apple" and s.read("kv_raise").agg({"version": "max"}).first()[0] == 2
+    s.delete("kv_raise")
+
+
 def test_view_pages(spark):
     c = cells(spark, [(f"k{i}", "c", "v" * 2000, 1) for i in range(5)])
     first = K.view(c, "", 2).orderBy("row_key").collect()

@@ -25,13 +25,17 @@ def test_seeds_files_and_sink(spark, tmp_path):
 
 class Pages(BaseHTTPRequestHandler):
     def do_GET(self):
-        code = {"/moved": 302, "/gone": 404}.get(self.path, 200)
+        code = {"/moved": 302, "/gone": 404, "/busy": 429}.get(self.path, 200)
         self.send_response(code)
         if code == 302:
             self.send_header("Location", "/new")
-        self.send_header("Content-Type", "text/html; charset=utf-8")
+        if code == 429:
+            self.send_header("Retry-After", "9")
+        self.send_header("Content-Type", f"text/html; charset={'no-such' if self.path == '/odd' else 'utf-8'}")
+        if self.path == "/broken":
+            self.send_header("Content-Length", "100000")
         self.end_headers()
-        self.wfile.write("<p>größer</p>".encode())
+        self.wfile.write(("<p>größer</p>" + "x" * 6_000_000 * (self.path == "/long")).encode())
 
     def log_message(self, *_):
         pass
@@ -41,12 +45,14 @@ def test_http_fetcher(spark):
     server = HTTPServer(("127.0.0.1", 0), Pages)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
-    urls = spark.createDataFrame([(f"{base}{p}",) for p in ("/", "/moved", "/gone")] + [("http://127.0.0.1:1/",)], "url string")
+    urls = spark.createDataFrame([(f"{base}{p}",) for p in ("/", "/moved", "/gone", "/busy", "/odd", "/long", "/broken")] + [("http://127.0.0.1:1/",), ("not a url",)], "url string")
     got = {r["url"].removeprefix(base): r for r in X.HttpFetcher("millrace-test").fetch(urls).collect()}
     server.shutdown()
     assert got["/"]["responsecode"] == "200" and got["/"]["page"] == "<p>größer</p>"
     assert got["/moved"]["responsecode"] == "302" and got["/moved"]["location"] == "/new" and got["/gone"]["responsecode"] == "404"
-    assert got["http://127.0.0.1:1/"]["responsecode"] == "0"
+    assert got["http://127.0.0.1:1/"]["responsecode"] == "0" and got["not a url"]["error"].startswith("ValueError")
+    assert got["/busy"]["retry_after"] == 9 and got["/odd"]["page"] == "<p>größer</p>" and "no-such" in got["/odd"]["error"]
+    assert len(got["/long"]["page"]) > 6_000_000 and "IncompleteRead" in got["/broken"]["error"]
 
 
 def test_host_limits(spark):
