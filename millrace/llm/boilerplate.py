@@ -25,6 +25,8 @@ MIN_LEAF = 8
 
 #: What a headline adds to the prose, in words, where the main container is looked for, and what a word outside prose counts there.
 HEADLINE, OTHER = 40, 0.25
+#: So many letters of a line are looked up before the line is searched for.
+BEGIN = 24
 
 # What elements and class names say about the role of what they hold.
 _FURNITURE = re.compile(r"(?:^|[.\s_-])(?:nav\w*|menu|crumb\w*|breadcrumb\w*|share\w*|social|author\w*|byline|meta|dateline|rail|side\w*|aside|related|recommend\w*|foot\w*|bottom|legal|print|small|copyright|consent|cookie\w*|banner|advert\w*|promo\w*|sponsor\w*|widget|toolbar|login|search)(?:$|[.\s_-])")
@@ -82,8 +84,10 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
     title = _KEY.sub("", titles.lower())
     run = 0
     for k, b in enumerate(blocks):
-        near = np.abs(where - k).min() if len(where) else 99
-        after = where[where > k]
+        i = int(np.searchsorted(where, k))  # the first prose at k or after
+        near = min(int(where[i]) - k if i < len(where) else 99, k - int(where[i - 1]) if i else 99)
+        i += i < len(where) and where[i] == k
+        ahead = int(where[i]) - k if i < len(where) else None
         text = b.text
         letters = sum(c.isalpha() for c in text) or 1
         run = run + 1 if b.tag in ("li", "br", "td", "option", "") else 0
@@ -96,7 +100,7 @@ def features_of(blocks: list[Block], titles: str = "") -> np.ndarray:
             b.tag in ("h1", "h2", "h3", "h4"), b.tag in ("li", "dt", "dd"), b.tag == "blockquote", b.tag == "p",
             head >= 0 and k < head, k - head if head >= 0 and k >= head else -1,
             b.path == main, count[b.path], by_hold[b.path] / total if total else 0,
-            b.path.startswith(main), own - depth, min(near, 20), min(int(after[0]) - k, 20) if len(after) else 30,
+            b.path.startswith(main), own - depth, min(near, 20), 30 if ahead is None else min(ahead, 20),
             len(_LIST_SIGN.findall(text)), sum(c.isdigit() for c in text) / (len(text) or 1), sum(c.isupper() for c in text) / letters, k / n, n - k,
             len(key) > 5 and bool(title) and (key in title or title in key), total, run, links[b.path] / count[b.path], seen[k] / total if total else 0,
             len(count) == 1 and "" in count,
@@ -187,10 +191,23 @@ def visible(page: str) -> list[Block]:
     return [b for b in blocks_of(page) if b.tag != "title" and "noscript" not in b.path]
 
 
+def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The features of all labelled blocks of a page, and their labels."""
+    for batch in batches:
+        rows = []
+        for key, title, page in zip(batch["row_key"], batch["title"], batch["page"]):
+            x, y = labelled([(title, page)])
+            if len(y):
+                rows.append((key, x.astype("<f4").tobytes(), y.astype("i1").tobytes()))
+        yield pd.DataFrame(rows, columns=["row_key", "x", "y"])
+
+
 def fit_tree(crawl: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Tree | None:
-    """The tree, grown on the driver from about ``sample_pages`` pages; none if they label nothing."""
-    rows = hash_sample(crawl.where("page is not null and row_key is not null").select("row_key", "title", "page"), "row_key", sample_pages).collect()  # at most twice sample_pages
-    x, y = labelled([(r["title"], r["page"]) for r in rows])
+    """The tree, grown on the driver from the labelled blocks of about ``sample_pages`` pages; none if they label nothing. Pages are read on the executors, numbers alone leave them."""
+    sample = hash_sample(crawl.where("page is not null and row_key is not null").select("row_key", "title", "page"), "row_key", sample_pages)
+    rows = sorted(map_texts(sample, _label, "row_key string, x binary, y binary").collect(), key=lambda r: (r["row_key"], bytes(r["x"])))  # at most twice sample_pages
+    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)) for r in rows] or [np.zeros((0, len(FEATURES)), np.float32)])
+    y = np.concatenate([np.frombuffer(r["y"], "i1") for r in rows] or [np.zeros(0, "i1")])
     return Tree(first=FEATURES.index("flat")).fit(x, y) if len(y) else None
 
 
@@ -215,7 +232,8 @@ def _lines_of(text: str, page: str | None, title: str | None, tree: Tree | None)
         size += len(key)
     joined = "".join(flat)
     out = np.zeros(len(lines), bool)
-    last = 0
+    last = reached = 0
+    begins: set[str] | None = None  # how the text goes on at any place, so that lines that stand nowhere need no search
     for n, line in enumerate(lines):
         key = _KEY.sub("", line.lower())
         if not key:
@@ -225,7 +243,15 @@ def _lines_of(text: str, page: str | None, title: str | None, tree: Tree | None)
             k = next((i for i in at if i >= last), at[-1])
             last = max(last, k)
             out[n] = main[k]
-        elif (found := joined.find(key)) >= 0:
+            continue
+        if begins is None:
+            begins = {joined[i : i + BEGIN] for i in range(len(joined))}
+        found = -1
+        if key[:BEGIN] in begins or len(key) < BEGIN:
+            found = joined.find(key, reached)
+            found = joined.find(key) if found < 0 else found
+        if found >= 0:
+            reached = found
             a = int(np.searchsorted(starts, found, side="right")) - 1
             b = int(np.searchsorted(starts, found + len(key) - 1, side="right")) - 1
             out[n] = main[a : b + 1].mean() >= 0.5

@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_texts
+
 SPAN = 10
 #: 1 marks a position that counts. Each mask starts and ends on one; together they tolerate any single substitution inside a span.
 MASKS = ("1110111011", "1101101111", "1011110111")
 #: Items up to this many words in all travel to the executors as one array (24 bytes a window); beyond it the windows are joined by shuffle.
 BROADCAST_WORDS = 2_000_000
+#: Beyond it, seeds of documents that no item has are dropped before the shuffle by a bitmap of so many bits (8 MB), whatever the number of items.
+FILTER_BITS = 1 << 26
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([int(xxhash.xxh3_64_intdigest(f"position {i}")) | 1 for i in range(SPAN)], dtype=np.uint64)
@@ -134,11 +137,11 @@ def _item_index(items: list[tuple[int, str]]):
     return hashed, keys[order], np.concatenate(owners)[order] if len(keys) else keys, np.concatenate(places)[order] if len(keys) else keys
 
 
-def _scan(items: list[tuple[int, str]], min_overlap: int):
-    """Documents against items small enough to travel to every task."""
+def _scan(index, ids_of: list[int], min_overlap: int):
+    """Documents against the broadcast index of all items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, keys, owners, places = _item_index(items)
+        hashed, keys, owners, places = index.value
         hasher = _Hasher()
         for batch in batches:
             out = []
@@ -167,22 +170,41 @@ def _scan(items: list[tuple[int, str]], min_overlap: int):
                             j += 1
                 for (d, k), where in hits.items():
                     if got := compare(flat[bounds[d] : bounds[d + 1]], hashed[k], where, min_overlap):
-                        out.append((ids[d], items[k][0], *got, len(hashed[k])))
+                        out.append((ids[d], ids_of[k], *got, len(hashed[k])))
             yield _frame(out)
 
     return run
 
 
-def _windows(id_name: str):
-    """Every window of every text as (id, seed)."""
+def _bit(seeds: np.ndarray) -> np.ndarray:
+    """The place of each seed in the bitmap."""
+    return (seeds >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _bitmap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One bitmap of the seeds of all items of a task."""
+    bits = np.zeros(FILTER_BITS, bool)
+    hasher = _Hasher()
+    for batch in batches:
+        for text in batch["text"]:
+            h = hasher(words_of(text))
+            for m in range(len(MASKS)):
+                bits[_bit(_seeds(h, m))] = True
+    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+
+def _windows(id_name: str, known=None):
+    """Every window of every text as (id, seed); with a broadcast bitmap only those whose bit is set in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
+        bits = np.unpackbits(np.frombuffer(known.value, np.uint8)).view(bool) if known else None
         for batch in batches:
             ids, seeds = [], []
             for key, text in zip(batch[id_name], batch["text"]):
                 h = hasher(words_of(text or ""))
                 s = np.unique(np.concatenate([_seeds(h, m) for m in range(len(MASKS))]))
+                s = s if bits is None else s[bits[_bit(s)]]
                 ids.append(np.full(len(s), key, np.int64))
                 seeds.append(s.view(np.int64))
             yield pd.DataFrame({id_name: np.concatenate(ids or [[]]).astype(np.int64), "seed": np.concatenate(seeds or [[]]).astype(np.int64)})
@@ -226,8 +248,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_overlap: int = SPAN
     size = tests.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.length("text") / 2)), F.lit(0))).first()[0]
     if size <= broadcast_words:
         rows = [(r["item_id"], r["text"]) for r in tests.collect()]  # bounded by broadcast_words
-        return map_texts(docs, _scan(rows, min_overlap), OUT).distinct()
+        index = documents.sparkSession.sparkContext.broadcast(_item_index(rows))  # built once
+        return map_texts(docs, _scan(index, [k for k, _ in rows], min_overlap), OUT).distinct()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in tests.select("text").repartition(8).mapInPandas(_bitmap, "bits binary").toLocalIterator():  # 8 bitmaps
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    known = documents.sparkSession.sparkContext.broadcast(bits.tobytes())
     seeds = tests.mapInPandas(_windows("item_id"), "item_id bigint, seed bigint")
-    hits = map_texts(docs, _windows("doc_id"), "doc_id bigint, seed bigint").join(seeds, "seed").select("doc_id", "item_id").distinct()
+    hits = map_texts(docs, _windows("doc_id", known), "doc_id bigint, seed bigint").join(seeds, "seed").select("doc_id", "item_id").distinct()
     pairs = hits.join(docs, "doc_id").join(tests.withColumnRenamed("text", "passage"), "item_id")
     return map_texts(pairs.select("doc_id", "text", "item_id", "passage"), _verify(min_overlap), OUT).distinct()
