@@ -4,7 +4,7 @@ Characters are mapped back to the bytes of the legacy charset they were wrongly
 pattern over the charset's characters) finds the maximal well-formed spans of a multibyte encoding, and only those spans are decoded again, as often
 as needed. A span counts if what it decodes to is common in writing and what it was is not. Confusions between two single-byte
 charsets have no byte structure; there, words that no orthography spells that way (signs or capitals inside a word, mixed scripts, letters that are all
-accented) are read back through every pair of charsets, and a pair counts if it leaves no such word. Text with replacement characters is
+accented) are read back through every pair of charsets, and a pair counts if it leaves no such word; runs of Cyrillic capitals count if their letters get commoner. Text with replacement characters is
 reported as garbled; what they replaced is gone.
 """
 
@@ -186,7 +186,7 @@ _ODD = re.compile(
     "|(?<![Ѐ-ӿ])[а-яё][А-ЯЁ]{2}"
     "|[A-Za-zÀ-ÿЀ-ӿ][─-▟]|[─-▟][A-Za-zÀ-ÿЀ-ӿ]"
     "|[bcdfghjklmnpqrstvwxz]ß|[a-z]þ[À-ÿ]"
-    "|(?<![A-Za-z])[à-ÿ][A-Z][a-z]|(?<![A-Za-z])[A-Z][À-ÖØ-Þ][a-z]{2}|Ÿ[a-z]"
+    "|(?<![A-Za-z])[à-ÿ][A-Z][a-z]|(?<![A-Za-z])[A-Z][À-ÖØ-ÞŠŽŒŸ][a-z]{2}|(?<![A-Za-zÀ-ž])Ž[cfkpst]|Ÿ[a-z]"
     "|(?<![─-▟])[─-▟](?![─-▟])|(?<=[a-z0-9.] )[ÐªòûùÙìîñôÑÕÆ](?= [A-Za-z])"
 )
 _WORD = re.compile(r"[^\s<>\"=/|()\[\]{},;:!?.&#]*[^\x00-\x7f][^\s<>\"=/|()\[\]{},;:!?.&#]*")
@@ -280,6 +280,39 @@ def _single_byte(text: str) -> tuple[str, str] | None:
     return f"{wrong}<-{right}", out
 
 
+#: Words set in Cyrillic capitals, at least so many letters in a row of words.
+_CAPITALS = re.compile(r"[А-ЯЁ]{2,}(?:[ \t\r\n,.;:!?()«»\"–—-]+[А-ЯЁ]+)+")
+LEAST_CAPITALS, FREQUENCY_GAIN = 15, 0.08
+_CASED = tuple((w, r) for w in ("koi8_r", "cp1251") for r in ("cp1251", "koi8_r") if w != r)
+
+
+def _frequency(text: str) -> float:
+    """How common the Cyrillic letters of a text are, on average from 1 for the commonest to 0 for the rarest; capitals count as small letters, unknown letters as -1."""
+    letters = [c for c in text.lower() if "Ѐ" <= c <= "ӿ"]
+    return sum(1 - _RUSSIAN_ORDER.index(c) / len(_RUSSIAN_ORDER) if c in _RUSSIAN_ORDER else -1 for c in letters) / (len(letters) or 1)
+
+
+def _capitals(text: str) -> tuple[str, str] | None:
+    """Small Cyrillic letters read as capitals of the other common charset: runs of capitals whose letters are commoner when they are read back."""
+    how: list[str] = []
+
+    def run(m: re.Match) -> str:
+        found = m.group()
+        if sum(c.isalpha() for c in found) < LEAST_CAPITALS:
+            return found
+        best, score = "", _frequency(found) + FREQUENCY_GAIN
+        for wrong, right in _CASED:
+            got = _through(found, wrong, right)
+            if got is not None and sum(c.islower() for c in got) >= 0.9 * sum(c.isalpha() for c in got) and _frequency(got) >= score:
+                best, score, name = got, _frequency(got), f"{wrong}<-{right}"
+        if best:
+            how.append(name)
+        return best or found
+
+    after = _CAPITALS.sub(run, text)
+    return (how[0], after) if how else None
+
+
 def _level1(raw: bytes) -> bool:
     """Whether the two-byte characters are mostly of the common rows that these charsets begin with."""
     leads = raw[::2]
@@ -426,6 +459,8 @@ def repair(text: str | None) -> tuple[str, str, bool] | None:
                 step = _asian(current) or step
         if not step and _ODD.search(current):
             step = _controls(current) or _single_byte(current)
+        if not step:
+            step = _capitals(current)
         if not step or step[1] == current:
             break
         how.append(step[0])

@@ -78,3 +78,19 @@ def test_passages_far_down_a_page():
     garbled = "机器学习模型在数据上进行训练".encode().decode("gb18030", "ignore")
     got = repair("An ordinary sentence in plain words. " * 700 + garbled)
     assert got is not None
+
+
+def test_small_cyrillic_read_as_capitals():
+    text = "старая мельница у реки была закрыта, и никто не знал почему; потом купил сосед"
+    for right, wrong in (("cp1251", "koi8_r"), ("koi8_r", "cp1251")):
+        garbled = text.encode(right).decode(wrong)
+        whole = E.repair(garbled)
+        assert whole and whole[1] == text
+        part = E.repair(f"<p>Обычный текст о мельнице и реке.</p><p>{garbled}</p>")
+        assert part and "старая мельница у реки" in part[1] and "Обычный текст" in part[1]
+    assert E.repair(text.upper()) is None and E.repair("ВАЖНОЕ ОБЪЯВЛЕНИЕ О ЗАКРЫТИИ МЕЛЬНИЦЫ У СТАРОЙ РЕКИ") is None
+
+
+def test_capitals_of_mac_roman():
+    assert E.repair("La citadelle Žtroite de Brie")[1] == "La citadelle étroite de Brie"
+    assert E.repair("Škoda, Štrba, Žďár a Židlochovice") is None
