@@ -225,6 +225,7 @@ SELECT word, string_agg(doc || ':' || ps, ',' ORDER BY n DESC, split_part(ps, '
     o["idx_page_words"] = f"WITH p AS (SELECT row_key, {_PAGE_WORDS.format('page')} AS ws FROM (SELECT DISTINCT row_key, page FROM pt_crawl WHERE page IS NOT NULL)), x AS (SELECT row_key AS doc, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM p) SELECT word, doc, count(*) AS freq, CAST(min(pos) AS INTEGER) AS first_pos FROM x GROUP BY word, doc"
     o["idx_freq_first"] = p + " SELECT word, doc, freq, first_pos FROM post"
     o["idx_augmented_tf"] = _TOK + _INDEX + " SELECT word, doc, tf, round(doc_tf, 6) AS doc_tf, list_aggregate(list_transform(positions[1:19], lambda x: CAST(x AS VARCHAR)), 'string_agg', ' ') AS positions FROM idx"
+    o["idx_served"] = _SERVED + _INDEX + " SELECT word, doc, tf, round(doc_tf, 6) AS doc_tf FROM idx"
     o["idx_df_idf"] = _TOK + " SELECT word, count(DISTINCT doc) AS df, round(log10((SELECT count(DISTINCT doc) FROM tok)::DOUBLE / count(DISTINCT doc)), 6) AS idf FROM tok GROUP BY word"
     o["idx_doclist"] = _TOK + " SELECT word, count(DISTINCT doc) AS docs, count(*) AS occurrences FROM tok GROUP BY word"
     o["idx_lemmatized"] = _TOK + """, known AS (SELECT word FROM tok GROUP BY word HAVING count(DISTINCT doc) >= 2), l AS (SELECT doc, CASE word WHEN 'libraries' THEN 'library' WHEN 'records' THEN 'record' ELSE word END AS word FROM tok WHERE word IN (SELECT word FROM known))

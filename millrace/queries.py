@@ -481,6 +481,13 @@ def idx_augmented_tf(spark, d):
     return i.select("word", "doc", "tf", F.round("doc_tf", 6).alias("doc_tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
 
 
+@query
+def idx_served(spark, d):
+    """The stored index of the processed pages, as searches read it; their stored pages are written with it."""
+    page_details(spark, d)
+    return served(spark, d).all().select("word", "doc", "tf", F.round("doc_tf", 6).alias("doc_tf"))
+
+
 @query
 def idx_df_idf(spark, d):
     x = I.document_frequencies(tokens(spark, d))
