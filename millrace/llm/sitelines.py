@@ -66,17 +66,17 @@ def templates(lines: DataFrame, min_docs: int) -> DataFrame:
     template: a number of the constants and slots of the node's template; constant: the share of its words that are constants; docs: documents with exactly these letters.
     """
     nodes = stored(lines.groupBy("leaf", "key").agg(F.count_distinct(F.xxhash64("row_key")).alias("docs"), F.min("words").alias("words")))
-    places = nodes.select("leaf", "key", "docs", F.posexplode("words").alias("place", "word"))
+    places = nodes.select("leaf", F.col("key.a").alias("node"), "docs", F.posexplode("words").alias("place", "word"))  # leaf and half a key name a node as well as a whole key
     frequent = places.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("_n")).where(F.col("_n") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("fixed"))
     shape = (
-        places.join(frequent, ["leaf", "place", "word"], "left")
-        .groupBy("leaf", "key")
+        places.drop("docs")
+        .join(frequent, ["leaf", "place", "word"], "left")
+        .groupBy("leaf", "node")
         .agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("word")).alias("word")))).alias("_s"), F.avg(F.coalesce("fixed", F.lit(False)).cast("int")).alias("constant"))
     )
     parts = F.transform("_s", lambda x: F.coalesce(x["word"].cast("string"), F.lit("*")))
-    return nodes.select("leaf", "key", "docs").join(
-        shape.select("leaf", "key", "constant", F.xxhash64("leaf", F.regexp_replace(F.array_join(parts, " "), r"\*( \*)+", "*")).alias("template")), ["leaf", "key"]
-    )
+    shape = shape.select("leaf", "node", "constant", F.xxhash64("leaf", F.regexp_replace(F.array_join(parts, " "), r"\*( \*)+", "*")).alias("template"))
+    return nodes.select("leaf", "key", "docs", F.col("key.a").alias("node")).join(shape, ["leaf", "node"]).drop("node")
 
 
 def repeated_lines(
