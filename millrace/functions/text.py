@@ -43,32 +43,28 @@ def page_words(s: Column) -> Column:
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
-# What the crawler's cleaning takes out of a page, in this order, before its letters are kept.
+# What the crawler's cleaning replaces by spaces, in this order, before and after the elements that hold nothing to be read.
 HIDDEN_TAGS = "meta head noscript iframe embed object applet link base area map param track wbr".split()
-STANDING_PHRASES = ("privacy policy", "terms of service", "about us")
-
-
-def hidden_elements() -> str:
-    """A pattern for elements that hold nothing to be read, without back references, so that any engine takes it."""
-    return "(?s)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in HIDDEN_TAGS)
+PATTERNS_BEFORE = (
+    r"(?s)<script.*?>.*?</script>",
+    r"(?s)<style.*?>.*?</style>",
+    r'on\w+\s*=\s*"[^"]*"',
+    r"on\w+\s*=\s*'[^']*'",
+    r"(?s)<!--.*?-->",
+    r"(?s)<footer.*?>.*?</footer>",
+)
+PATTERNS_AFTER = (
+    r"<[^>]*>",
+    r"[ \t\n\x0B\f\r]+",
+    r"(?i)\b(?:privacy policy|terms of service|about us)\b",
+    r"[^\p{L} ]",
+)
 
 
 def body_steps() -> list[str]:
-    """The patterns that ``body_letters`` replaces by spaces, in order."""
-    return [
-        r"(?s)<script.*?>.*?</script>",
-        r"(?s)<style.*?>.*?</style>",
-        r'on\w+\s*=\s*"[^"]*"',
-        r"on\w+\s*=\s*'[^']*'",
-        r"(?s)<!--.*?-->",
-        r"(?s)<footer.*?>.*?</footer>",
-        hidden_elements(),
-        f"<(?:{'|'.join(HIDDEN_TAGS)})[^>]*>",
-        r"<[^>]*>",
-        r"[ \t\n\x0B\f\r]+",
-        rf"(?i)\b(?:{'|'.join(STANDING_PHRASES)})\b",
-        r"[^\p{L} ]",
-    ]
+    """The patterns that ``body_letters`` replaces by spaces, in order. Hidden elements are spelt out tag by tag, without back references, so that any engine takes them."""
+    whole = "(?s)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in HIDDEN_TAGS)
+    return [*PATTERNS_BEFORE, whole, f"<(?:{'|'.join(HIDDEN_TAGS)})[^>]*>", *PATTERNS_AFTER]
 
 
 def body_letters(s: Column) -> Column:
@@ -166,13 +162,29 @@ def title_case(s: Column) -> Column:
     return F.initcap(s)
 
 
-def file_title(metadata: Column, url: Column) -> Column:
-    """The title in a file's metadata, else its stem, type and domain."""
-    from millrace.functions.urls import host_of
+# Parts of content types and the names that files of them go by; the first that fits counts.
+FILE_TYPES = (("pdf", "PDF"), ("word", "DOC"), ("excel", "XLSX"), ("powerpoint", "PPT"), ("zip", "ZIP"), ("text/plain", "TXT"), ("xml", "XML"), ("json", "JSON"), ("csv", "CSV"), ("rtf", "RTF"))
+
+
+def file_type(content_type: Column) -> Column:
+    """The short name of a file's type, or null."""
+    out = F.lit(None).cast("string")
+    for part, name in reversed(FILE_TYPES):
+        out = F.when(content_type.contains(part), F.lit(name)).otherwise(out)
+    return out
+
+
+def file_title(metadata: Column, url: Column, content_type: Column) -> Column:
+    """The title in a file's metadata, else its name without the ending, its type and its host."""
+    stem = F.regexp_replace(F.regexp_extract(url, r"([^/]*)$", 1), r"\.\w+$", "")
+    host = F.coalesce(F.nullif(F.replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1), F.lit("www."), F.lit("")), F.lit("")), F.lit("unknown domain"))
+    return F.coalesce(F.nullif(metadata, F.lit("")), F.concat(stem, F.coalesce(F.concat(F.lit(" "), file_type(content_type)), F.lit("")), F.lit(" from "), host))
+
 
-    stem = F.regexp_extract(url, r"/([^/.?#]+)\.([A-Za-z0-9]+)(?:[?#].*)?$", 1)
-    kind = F.upper(F.regexp_extract(url, r"/([^/.?#]+)\.([A-Za-z0-9]+)(?:[?#].*)?$", 2))
-    return F.coalesce(F.nullif(F.trim(metadata), F.lit("")), F.concat_ws("", stem, F.lit(" "), kind, F.lit(" from "), host_of(url)))
+def file_icon(content_type: Column, icons: dict[str, str], default: str) -> Column:
+    """The address of the icon of a content type. ``icons`` is an input."""
+    known = F.create_map(*[F.lit(x) for kv in icons.items() for x in kv])[content_type] if icons else F.lit(None).cast("string")
+    return F.coalesce(known, F.lit(default))
 
 
 def valid_word(w: Column) -> Column:

@@ -191,6 +191,8 @@ nullif(lower(regexp_extract(page, '(?i)<html[^>]*\\slang="([^"]*)"', 1)), '') AS
     o["text_images_html"] = f"SELECT row_key, string_agg('<img src=\"' || src || '\">', '' ORDER BY src) AS html FROM (SELECT DISTINCT row_key, src FROM ({images})) GROUP BY row_key"
     place = "regexp_matches(text, '(^|[^A-Za-z]){0}($|[^A-Za-z])')"
     o["text_places"] = "SELECT row_key, places FROM (SELECT row_key, concat_ws(',', " + ", ".join(f"CASE WHEN {place.format(x)} THEN '{x}' END" for x in ("Library", "Museum", "Storage")) + ") AS places FROM (SELECT DISTINCT row_key, text FROM pt_processed WHERE text IS NOT NULL)) WHERE places <> ''"
+    kinds = "CASE " + " ".join(f"WHEN contains(contenttype, '{a}') THEN '{b}'" for a, b in (("pdf", "PDF"), ("word", "DOC"), ("excel", "XLSX"), ("powerpoint", "PPT"), ("zip", "ZIP"), ("text/plain", "TXT"), ("xml", "XML"), ("json", "JSON"), ("csv", "CSV"), ("rtf", "RTF"))) + " END"
+    o["text_file_titles"] = f"SELECT url, contenttype, {kinds} AS type, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.\\w+$', '') || coalesce(' ' || {kinds}, '') || ' from ' || coalesce(nullif(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), 'www.', ''), ''), 'unknown domain') AS name FROM (SELECT DISTINCT url, contenttype FROM pt_crawl)"
     o["text_scores"] = "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS sig, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)), 6) AS scaled FROM customer"
     o["url_hash"] = f"SELECT url, {_hash('url')} AS hash FROM (SELECT DISTINCT url FROM pt_crawl)"
     part = "nullif(regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?([^/:?#]*)(?::([0-9]+))?(/.*)?$', {}), '')"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pandas as pd
@@ -234,6 +235,28 @@ def search(
     return done.select("doc", "score", "tfidf", "rank", "title_score", "phrase", "title", "url", snippet(F.coalesce("text", F.lit("")), F.col("best")).alias("snippet")).orderBy(F.desc("score"), "doc")
 
 
+class ResultCache:
+    """Ranked results of recent queries on the driver, by their analysed words in order, so that paging asks Spark once.
+
+    At most ``most`` results of each query and ``queries`` queries are kept, the least recently used go first. A page that begins past the last result is the first page.
+    """
+
+    def __init__(self, run: Callable[[str], DataFrame], most: int = 200, queries: int = 1_000, stop_words: frozenset[str] = frozenset(), lemmas: dict[str, str] | None = None):
+        self.run, self.most, self.queries, self.stop_words, self.lemmas = run, most, queries, stop_words, lemmas
+        self.kept: OrderedDict[str, list] = OrderedDict()
+
+    def page(self, query: str, offset: int = 0, limit: int = 10) -> list:
+        key = " ".join(query_terms(query, self.stop_words, self.lemmas))
+        if key not in self.kept:
+            self.kept[key] = self.run(query).limit(self.most).collect()  # a ranked page of at most ``most`` results
+            if len(self.kept) > self.queries:
+                self.kept.popitem(last=False)
+        self.kept.move_to_end(key)
+        rows = self.kept[key]
+        offset = 0 if offset >= len(rows) else offset
+        return rows[offset : offset + limit]
+
+
 def place_band(difference: Column) -> Column:
     """The nearness of two ZIP numbers."""
     d = F.abs(difference)

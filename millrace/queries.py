@@ -349,6 +349,13 @@ def text_places(spark, d):
     return x.select("row_key", F.array_join(T.named_places(F.col("text"), ["Library", "Museum", "Storage"]), ",").alias("places")).where("places <> ''")
 
 
+@query
+def text_file_titles(spark, d):
+    """What the pages would be called as files, without their titles."""
+    x = t(spark, d, "pt_crawl").select("url", "contenttype").distinct()
+    return x.select("url", "contenttype", T.file_type(F.col("contenttype")).alias("type"), T.file_title(F.lit(None).cast("string"), F.col("url"), F.col("contenttype")).alias("name"))
+
+
 @query
 def text_scores(spark, d):
     c = t(spark, d, "customer")

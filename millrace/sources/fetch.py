@@ -39,6 +39,31 @@ class HttpFetcher:
     def __init__(self, agent: str, timeout: float = 3.0):
         self.agent, self.timeout = agent, timeout
 
+    def head(self, urls: DataFrame) -> DataFrame:
+        """url, responsecode, contenttype, length, location, error, asked by HEAD alone."""
+        agent, timeout = self.agent, self.timeout
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import http.client
+            import urllib.parse
+
+            for batch in batches:
+                rows = []
+                for url in batch["url"]:
+                    try:
+                        at = urllib.parse.urlsplit(url)
+                        kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+                        connection = kind(at.hostname or "", at.port, timeout=timeout)
+                        connection.request("HEAD", urllib.parse.urlunsplit(("", "", at.path or "/", at.query, "")), headers={"User-Agent": agent})
+                        r = connection.getresponse()
+                        rows.append((url, str(r.status), r.headers.get("Content-Type"), r.headers.get("Content-Length"), r.headers.get("Location"), None))
+                        connection.close()
+                    except Exception as e:  # noqa: BLE001 one bad address must not fail the others
+                        rows.append((url, "0", None, None, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["url", "responsecode", "contenttype", "length", "location", "error"])
+
+        return urls.select("url").distinct().mapInPandas(run, "url string, responsecode string, contenttype string, length string, location string, error string")
+
     def fetch(self, urls: DataFrame) -> DataFrame:
         agent, timeout = self.agent, self.timeout
 

@@ -75,6 +75,30 @@ def test_search_end_to_end(spark, tmp_path):
     assert {r["doc"]: r["lists"] for r in S.positions_of(index, ["red", "far"]).collect()}["d1"] == {"red": [0], "far": [3]}
 
 
+def test_result_cache(spark):
+    asked = []
+
+    def run(query):
+        asked.append(query)
+        return spark.range(25).orderBy("id")
+
+    cache = S.ResultCache(run, most=20, queries=1, stop_words=frozenset({"the"}))
+    assert [r["id"] for r in cache.page("the-Red-boat", 10, 5)] == [10, 11, 12, 13, 14] and [r["id"] for r in cache.page("red-boat", 18)] == [18, 19]
+    assert len(asked) == 1 and [r["id"] for r in cache.page("red-boat", 50, 2)] == [0, 1]
+    cache.page("mill")
+    cache.page("red-boat")
+    assert len(asked) == 3
+
+
+def test_image_tags(spark):
+    from millrace.plans import index as I
+
+    page = '<img src="/a.png" alt="Old\nMill" title="T"><IMG alt="x" src="b.png"><img alt="none">'
+    df = spark.createDataFrame([("k", "http://s.org:80/d/p.html", page), ("n", None, page), ("z", "u", None)], "row_key string, url string, page string")
+    got = {(r["row_key"], r["src"]): (r["address"], r["alt"], r["title"]) for r in I.image_tags(df).collect()}
+    assert got[("k", "/a.png")] == ("http://s.org:80/a.png", "old mill", "t") and got[("k", "b.png")] == ("http://s.org:80/d/b.png", "x", "") and got[("n", "/a.png")][0] is None and len(got) == 4
+
+
 def test_suggestions(spark):
     words = spark.createDataFrame([(w,) for w in ("library", "libraries", "liberty", "harbour", "harbor", "harbor")], "word string")
     assert [r["word"] for r in Q.completions(words, "lib", 2).collect()] == ["liberty", "libraries"]
@@ -160,7 +184,10 @@ def test_text_functions(spark):
     assert one(spark, T.named_places(F.lit("from New York, to Boston"), ["Boston", "New York", "York", "Paris"])) == ["Boston", "New York", "York"]
     assert one(spark, T.zip_codes(F.lit("ZIP code: 19104 and zip 12"))) == ["zip code: 19104"]
     assert one(spark, T.images_html(F.array(F.lit("a"), F.lit("b")))) == '<img src="a"><img src="b">'
-    assert one(spark, T.file_title(F.lit(None).cast("string"), F.lit("http://www.a.org/x/report.pdf?v=1"))) == "report PDF from a.org"
+    none = F.lit(None).cast("string")
+    assert one(spark, T.file_title(none, F.lit("http://www.a.org/x/report.pdf"), F.lit("application/pdf"))) == "report PDF from a.org"
+    assert one(spark, T.file_title(F.lit("Own"), F.lit("http://a.org/x"), none)) == "Own" and one(spark, T.file_title(F.lit(""), F.lit("x.bin"), F.lit("?"))) == "x from unknown domain"
+    assert one(spark, T.file_icon(F.lit("application/pdf"), {"application/pdf": "p.png"}, "d.png")) == "p.png" and one(spark, T.file_icon(none, {}, "d.png")) == "d.png"
     assert one(spark, T.min_max(F.lit(3.0), F.lit(3.0), F.lit(3.0))) == 0.5
     assert T.query_terms("Red--Blue-red") == ["red", "blue"]
     assert one(spark, U.root_url(F.lit("http://a/b?c#d"))) == "http://a/b"

@@ -37,6 +37,8 @@ class Pages(BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(("<p>größer</p>" + "x" * 6_000_000 * (self.path == "/long")).encode())
 
+    do_HEAD = do_GET
+
     def log_message(self, *_):
         pass
 
@@ -47,6 +49,8 @@ def test_http_fetcher(spark):
     base = f"http://127.0.0.1:{server.server_port}"
     urls = spark.createDataFrame([(f"{base}{p}",) for p in ("/", "/moved", "/gone", "/busy", "/odd", "/long", "/broken")] + [("http://127.0.0.1:1/",), ("not a url",)], "url string")
     got = {r["url"].removeprefix(base): r for r in X.HttpFetcher("millrace-test").fetch(urls).collect()}
+    heads = {r["url"].removeprefix(base): r for r in X.HttpFetcher("millrace-test").head(spark.createDataFrame([(f"{base}/",), (f"{base}/moved",), ("not a url",)], "url string")).collect()}
+    assert heads["/"]["responsecode"] == "200" and heads["/"]["contenttype"].startswith("text/html") and heads["/moved"]["location"] == "/new" and heads["not a url"]["error"]
     server.shutdown()
     assert got["/"]["responsecode"] == "200" and got["/"]["page"] == "<p>größer</p>"
     assert got["/moved"]["responsecode"] == "302" and got["/moved"]["location"] == "/new" and got["/gone"]["responsecode"] == "404"
