@@ -171,6 +171,7 @@ nullif(regexp_extract(title, '[0-9]+', 0), '') AS number, trim(regexp_replace(re
     o["text_metadata"] = f"""SELECT row_key, coalesce(nullif({_meta('property', 'og:title')}, ''), nullif(trim(regexp_extract(page, '(?i)<title>([^<]*)</title>', 1)), ''), nullif({_meta('name', 'description')}, ''), '') AS title,
 lower(replace({_meta('property', 'og:description')}, chr(10), ' ')) AS description, coalesce({_icon('apple-touch-icon')}, {_icon('shortcut icon')}, {_icon('icon')}, url || '/favicon.ico') AS icon,
 nullif(lower(regexp_extract(page, '(?i)<html[^>]*\\slang="([^"]*)"', 1)), '') AS language, {_meta('name', 'keywords')} AS keywords FROM (SELECT DISTINCT row_key, url, page FROM pt_crawl WHERE page IS NOT NULL)"""
+    # The elements and patterns of the crawler's cleaning, in its order.
     hidden = "meta head noscript iframe embed object applet link base area map param track wbr".split()
     body = "page"
     for pattern, by in (
