@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_texts
@@ -140,33 +140,31 @@ def _exact(threshold: float):
     return run
 
 
-def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of a table with row_key and text.
-
-    members: row_key, a, b, where (a, b) is the 128-bit id of the row's canonical text; equal texts share it. links: ax, bx, ay, by, similarity, one
-    row for each pair of classes whose exact Jaccard similarity is above ``threshold`` (0.5 or more). Null texts and
-    texts with fewer than ``N`` letters and digits have an empty set and belong to no class. Empty input gives empty results.
-    """
+def _indexed(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, the fingerprints of each row, and the blocks of each class."""
     if threshold < 0.5:
         raise ValueError("the blocks are laid out for similarities of 0.5 and above")
     docs = texts.where("row_key is not null and text is not null").select("row_key", "text", F.xxhash64("text").alias("th"))
     indexed = cut(map_texts(docs, _index, "row_key string, th bigint, a bigint, b bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, blocks array<bigint>"))
-    members = indexed.select("row_key", "a", "b").distinct()
     blocks = (
         indexed.groupBy("a", "b")
         .agg(*(F.first(c).alias(c) for c in (*SKETCH, "blocks")))
         .select("a", "b", *SKETCH, F.explode("blocks").alias("block"))
     )
-    y = blocks.select("block", *[F.col(c).alias(f"{c}y") for c in ("a", "b", *SKETCH)])
-    x = blocks.select("block", *[F.col(c).alias(f"{c}x") for c in ("a", "b", *SKETCH)])
-    distance = sum((F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in SKETCH), F.lit(0))
-    pairs = cut(
-        x.join(y, "block")
-        .where("ax < ay or (ax = ay and bx < by)")
-        .where(distance <= MAX_DISTANCE)
-        .select("ax", "bx", "ay", "by")
-        .distinct()
-    )
+    return docs, indexed, blocks
+
+
+def _near(x: str = "x", y: str = "y") -> Column:
+    """Whether two sketches are close enough."""
+    return sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in SKETCH), F.lit(0)) <= MAX_DISTANCE
+
+
+def _side(blocks: DataFrame, end: str, *more: str) -> DataFrame:
+    return blocks.select(*more, *[F.col(c).alias(f"{c}{end}") for c in ("a", "b", *SKETCH)])
+
+
+def _verified(docs: DataFrame, indexed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of candidate pairs of classes (ax, bx, ay, by) those whose exact similarity is above the threshold, with it."""
     wanted = pairs.select(F.col("ax").alias("a"), F.col("bx").alias("b")).union(pairs.select("ay", "by")).distinct()
     holders = indexed.groupBy("a", "b").agg(F.min(F.struct("row_key", "th")).alias("_m")).join(wanted, ["a", "b"])
     holders = cut(holders.select("a", "b", "_m.row_key", "_m.th"))
@@ -177,7 +175,26 @@ def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame
         pairs.join(found.select(F.col("a").alias("ax"), F.col("b").alias("bx"), F.col("text").alias("text_x")), ["ax", "bx"])
         .join(found.select(F.col("a").alias("ay"), F.col("b").alias("by"), F.col("text").alias("text_y")), ["ay", "by"])
     )
-    return members, map_texts(texts_of, _exact(threshold), "ax bigint, bx bigint, ay bigint, by bigint, similarity double")
+    return map_texts(texts_of, _exact(threshold), "ax bigint, bx bigint, ay bigint, by bigint, similarity double")
+
+
+def similar_classes(texts: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of a table with row_key and text.
+
+    members: row_key, a, b, where (a, b) is the 128-bit id of the row's canonical text; equal texts share it. links: ax, bx, ay, by, similarity, one
+    row for each pair of classes whose exact Jaccard similarity is above ``threshold`` (0.5 or more). Null texts and
+    texts with fewer than ``N`` letters and digits have an empty set and belong to no class. Empty input gives empty results.
+    """
+    docs, indexed, blocks = _indexed(texts, threshold)
+    members = indexed.select("row_key", "a", "b").distinct()
+    pairs = cut(
+        _side(blocks, "x", "block").join(_side(blocks, "y", "block"), "block")
+        .where("ax < ay or (ax = ay and bx < by)")
+        .where(_near())
+        .select("ax", "bx", "ay", "by")
+        .distinct()
+    )
+    return members, _verified(docs, indexed, pairs, threshold)
 
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -196,18 +213,14 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def near_duplicate_groups(texts: DataFrame, threshold: float = 0.5, max_rounds: int = 50) -> DataFrame:
-    """One row per row_key with a text: row_key, group_id (least class id reachable over links, as text), links of its class.
+def _name(a: str, b: str) -> Column:
+    return F.concat(F.hex(a), F.hex(b))
 
-    Groups are closed over links by passing the least label along edges until nothing changes, with pointer jumping; all
-    in DataFrames cut at each round.
-    """
-    members, links = similar_classes(texts, threshold)
-    name = lambda a, b: F.concat(F.hex(a), F.hex(b))
-    edges = cut(links.select(name("ax", "bx").alias("u"), name("ay", "by").alias("v")))
+
+def _components(links: DataFrame, max_rounds: int) -> DataFrame:
+    """n, label: the least class id that each linked class reaches, by passing labels along edges until nothing changes, with pointer jumping; cut at each round."""
+    edges = cut(links.select(_name("ax", "bx").alias("u"), _name("ay", "by").alias("v")))
     edges = edges.union(edges.select("v", "u"))
-    nodes = cut(members.select("row_key", name("a", "b").alias("class_id")))
-    degree = edges.groupBy(F.col("u").alias("class_id")).agg(F.count(F.lit(1)).alias("links"))
     label = cut(edges.select(F.col("u").alias("n")).distinct().withColumn("label", F.col("n")))
     for _ in range(max_rounds):
         least = edges.join(label, edges.v == label.n).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
@@ -217,11 +230,40 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.5, max_rounds:
         changed = after.where("label <> old").limit(1).count()
         label = after.select("n", "label")
         if not changed:
-            break
-    else:
-        raise RuntimeError("links did not close within max_rounds")
-    return (
-        nodes.join(label.select(F.col("n").alias("class_id"), "label"), "class_id", "left")
-        .join(degree, "class_id", "left")
-        .select("row_key", F.coalesce("label", "class_id").alias("group_id"), "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+            return label
+    raise RuntimeError("links did not close within max_rounds")
+
+
+def near_duplicate_groups(texts: DataFrame, threshold: float = 0.5, max_rounds: int = 50) -> DataFrame:
+    """One row per row_key with a text: row_key, group_id (least class id reachable over similar classes, as text), class_id.
+
+    The groups are those of all links, but a group of n classes is not compared pair by pair: first each class meets the least class of each of its blocks, then only classes that share
+    a block and are still in different groups meet. No link between groups is lost, and a block full of near-copies costs its size, not its square.
+    """
+    docs, indexed, blocks = _indexed(texts, threshold)
+    nodes = cut(indexed.select("row_key", _name("a", "b").alias("class_id")).distinct())
+    first = blocks.groupBy("block").agg(F.min(F.struct("a", "b", *SKETCH)).alias("_r"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block", "_r.*")
+    star = cut(_side(first, "x", "block").join(_side(blocks, "y", "block"), "block").where("not (ax = ay and bx = by)").where(_near()).select("ax", "bx", "ay", "by").distinct())
+    links = cut(_verified(docs, indexed, star, threshold).select("ax", "bx", "ay", "by"))
+    group = _components(links, max_rounds)
+    grouped = cut(
+        blocks.join(first.select("block"), "block", "left_semi")
+        .withColumn("n", _name("a", "b"))
+        .join(group, "n", "left")
+        .withColumn("group", F.coalesce("label", "n"))
+        .drop("n", "label")
+    )
+    apart = grouped.groupBy("block").agg(F.min("group").alias("_l"), F.max("group").alias("_h")).where("_l <> _h").select("block")
+    sides = grouped.join(apart, "block", "left_semi").select("block", "group").distinct()
+    meet = sides.join(sides.select("block", F.col("group").alias("other")), "block").where(F.col("group") < F.col("other"))
+    rest = cut(
+        meet.join(_side(grouped, "x", "block", "group"), ["block", "group"])
+        .join(_side(grouped, "y", "block", "group").withColumnRenamed("group", "other"), ["block", "other"])
+        .where(_near())
+        .select("ax", "bx", "ay", "by")
+        .distinct()
+        .join(star, ["ax", "bx", "ay", "by"], "left_anti")
     )
+    more = _verified(docs, indexed, rest, threshold).select("ax", "bx", "ay", "by")
+    label = _components(links.union(more), max_rounds)
+    return nodes.join(label.select(F.col("n").alias("class_id"), "label"), "class_id", "left").select("row_key", F.coalesce("label", "class_id").alias("group_id"), "class_id")

@@ -81,3 +81,43 @@ def test_empty_and_long(spark):
     long = "".join(random.Random(1).choices("abcdefghij ", k=300_000))
     df = spark.createDataFrame([("a", long, 0), ("b", long + " and more", 0)], SCHEMA)
     assert pairs(N.similar_pairs(df)) == {("a", "b")}
+
+
+def test_a_group_of_many_near_copies(spark):
+    """Near-copies and a chain of ever more changed texts come into the groups of all links, though not every pair is compared."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprst", k=6))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(120)] = word()
+        rows.append((f"near{i:03}", " ".join(t)))
+    chain = list(base)
+    for i in range(12):
+        for k in range(10 * i, 10 * i + 10):
+            chain[k] = word()
+        rows.append((f"step{i:02}", " ".join(chain)))
+    rows += [(f"other{i}", " ".join(word() for _ in range(120))) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_key string, text string")
+    _, links = N.similar_classes(df)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    members, links = N.similar_classes(df)
+    for r in links.collect():
+        parent[root((r["ax"], r["bx"]))] = root((r["ay"], r["by"]))
+    expected = {}
+    for r in members.collect():
+        expected.setdefault(root((r["a"], r["b"])), set()).add(r["row_key"])
+    got = {}
+    for r in N.near_duplicate_groups(df).collect():
+        got.setdefault(r["group_id"], set()).add(r["row_key"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and max(map(len, got.values())) > 150
