@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_texts
-from millrace.session import cut
+from millrace.session import cut, stored
 
 N = 9
 SYMBOLS = 256
@@ -242,28 +242,31 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.5, max_rounds:
     """
     docs, indexed, blocks = _indexed(texts, threshold)
     nodes = cut(indexed.select("row_key", _name("a", "b").alias("class_id")).distinct())
-    first = blocks.groupBy("block").agg(F.min(F.struct("a", "b", *SKETCH)).alias("_r"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block", "_r.*")
-    star = cut(_side(first, "x", "block").join(_side(blocks, "y", "block"), "block").where("not (ax = ay and bx = by)").where(_near()).select("ax", "bx", "ay", "by").distinct())
+    sketches = cut(indexed.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in SKETCH)))
+    keys = blocks.select("block", "a", "b")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Candidate pairs whose sketches are close."""
+        x, y = (sketches.select(*[F.col(c).alias(f"{c}{end}") for c in ("a", "b", *SKETCH)]) for end in "xy")
+        return cut(pairs.distinct().join(x, ["ax", "bx"]).join(y, ["ay", "by"]).where(_near()).select("ax", "bx", "ay", "by"))
+
+    first = keys.groupBy("block").agg(F.min(F.struct("a", "b")).alias("_r"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = stored(keys.join(first, "block").select("block", "a", "b", F.col("_r.a").alias("ax"), F.col("_r.b").alias("bx")))  # blocks of one class are done with
+    star = near(shared.where("not (a = ax and b = bx)").select("ax", "bx", F.col("a").alias("ay"), F.col("b").alias("by")))
     links = cut(_verified(docs, indexed, star, threshold).select("ax", "bx", "ay", "by"))
     group = _components(links, max_rounds)
-    grouped = cut(
-        blocks.join(first.select("block"), "block", "left_semi")
-        .withColumn("n", _name("a", "b"))
-        .join(group, "n", "left")
-        .withColumn("group", F.coalesce("label", "n"))
-        .drop("n", "label")
-    )
+    named = sketches.select("a", "b", _name("a", "b").alias("n")).join(group, "n", "left").select("a", "b", F.coalesce("label", "n").alias("group"))
+    grouped = shared.select("block", "a", "b").join(named, ["a", "b"])
     apart = grouped.groupBy("block").agg(F.min("group").alias("_l"), F.max("group").alias("_h")).where("_l <> _h").select("block")
-    sides = grouped.join(apart, "block", "left_semi").select("block", "group").distinct()
+    open_blocks = stored(grouped.join(apart, "block", "left_semi"))
+    sides = open_blocks.select("block", "group").distinct()
     meet = sides.join(sides.select("block", F.col("group").alias("other")), "block").where(F.col("group") < F.col("other"))
-    rest = cut(
-        meet.join(_side(grouped, "x", "block", "group"), ["block", "group"])
-        .join(_side(grouped, "y", "block", "group").withColumnRenamed("group", "other"), ["block", "other"])
-        .where(_near())
+    rest = near(
+        meet.join(open_blocks.select("block", "group", F.col("a").alias("ax"), F.col("b").alias("bx")), ["block", "group"])
+        .join(open_blocks.select("block", F.col("group").alias("other"), F.col("a").alias("ay"), F.col("b").alias("by")), ["block", "other"])
         .select("ax", "bx", "ay", "by")
-        .distinct()
-        .join(star, ["ax", "bx", "ay", "by"], "left_anti")
-    )
+    ).join(star, ["ax", "bx", "ay", "by"], "left_anti")
+    rest = cut(rest)
     more = _verified(docs, indexed, rest, threshold).select("ax", "bx", "ay", "by")
     label = _components(links.union(more), max_rounds)
     return nodes.join(label.select(F.col("n").alias("class_id"), "label"), "class_id", "left").select("row_key", F.coalesce("label", "class_id").alias("group_id"), "class_id")
