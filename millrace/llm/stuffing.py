@@ -1,9 +1,8 @@
 """Keyword-stuffed pages and link lists, told from prose by the pointwise mutual information of neighbouring words.
 
-The corpus counts of all words and of all neighbouring pairs are gathered over every page. A page whose pairs have a low mean PMI is
-incoherent, word salad; pairs it repeats although their words attract each other strongly are stuffed collocations. Pages whose text is mostly sentences in blocks
-of their own and that repeat nothing can be neither and are only counted, not scored. One pass over the pages writes the counts and the pairs of the pages to be
-scored; only those are shuffled.
+The corpus counts of all words and of all neighbouring pairs are gathered over every page, and every page that has a pair is scored. A page whose pairs have a low
+mean PMI is incoherent, word salad; pairs it repeats although their words attract each other strongly are stuffed collocations. One pass over the pages stores
+their words as numbers, which parquet keeps as references to a dictionary; counts and the pages' pairs are read from those.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,14 +33,14 @@ PROSE = 60
 SMOOTH = 0.5
 #: So many pairs of usual PMI are added to each page before it is judged.
 DOUBT = 40
-#: Keys of texts without a page up to this many are broadcast (about 100 bytes each).
+#: Keys of texts without a page, and of texts under several keys, up to this many are broadcast (about 100 bytes each).
 BROADCAST_KEYS = 300_000
 #: Words whose counts are combined before they are handed on.
 FLUSH = 3_000_000
-#: Pages are scored if less than this share is prose or at least this share of their pairs is repeated.
-SCORED_PROSE, SCORED_REPEATED = 0.7, 0.3
+#: The usual PMI is that of pages with this much prose, and with less than so much or at least this share of repeated pairs: pure prose, whose pairs are rarer, has a lower one.
+MIXED = (0.5, 0.7, 0.3)
 
-OUT = "kind int, key bigint, n int, page bigint, pair bigint"
+PAGES = "id bigint, row bigint, page bigint, prose double, weight bigint, pairs int, words array<bigint>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARK = "\x00"
 
@@ -87,51 +85,66 @@ def page_shape(page: str) -> tuple[float, float, list[str]]:
     return prose / total if total else 1.0, total, _WORD.findall(_MARK.join(texts).lower())
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In parts, the counts of words (kind 1) and pairs (kind 2); of pages to be scored the shape and row (0), the pairs (3) and both words of every pair (4, 5).
-
-    Scored pages are numbered by their words, so that a text under several keys is one page.
-    """
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``PAGES`` of every page: its shape and its words as numbers. ``page`` is a number of the words, so that a text under several keys is one page."""
     seen: dict[str, int] = {}
-    words: list[np.ndarray] = []
-    pairs_of: list[np.ndarray] = []
-    for batch in chain(batches, [None]):
-        kinds, keys, counts, owners, labels = [], [], [], [], []
-
-        def add(kind: int, key: np.ndarray, n: np.ndarray, page: int, pair: np.ndarray) -> None:
-            kinds.append(np.full(len(key), kind, np.int32))
-            keys.append(key.view(np.int64))
-            counts.append(n.astype(np.int32))
-            owners.append(np.full(len(key), page, np.int64))
-            labels.append(pair.view(np.int64))
-
-        for row, page in zip(batch["number"], batch["page"]) if batch is not None else ():
+    for batch in batches:
+        rows = []
+        for number, row, page in zip(batch["id"], batch["row"], batch["page"]):
             if (mended := repair(page)) is not None:
                 page = mended[1]
             prose, weight, tokens = page_shape(page)
             h = _hashes(tokens, seen)
+            rows.append((number, row, xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), round(prose * 1000) / 1000, round(weight), np.count_nonzero((h[:-1] != 0) & (h[1:] != 0)), h.view(np.int64)))
+        yield pd.DataFrame(rows, columns=["id", "row", "page", "prose", "weight", "pairs", "words"])
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The words of about ``FLUSH`` words of pages at once, a mark after each page."""
+    mark, words, n = np.zeros(1, np.uint64), [], 0
+    for batch in batches:
+        for w in batch["words"]:
+            words += (w.view(np.uint64), mark)
+            n += len(w)
+            if n >= FLUSH:
+                yield np.concatenate(words)
+                words, n = [], 0
+    if words:
+        yield np.concatenate(words)
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for h in _parts(batches):
+        k, n = np.unique(h[h != 0], return_counts=True)
+        yield pd.DataFrame({"word": k.view(np.int64), "n": n})
+
+
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for h in _parts(batches):
+        pairs, at = _pairs(h)
+        k, first, n = np.unique(pairs, return_index=True, return_counts=True)
+        at = at[first]
+        yield pd.DataFrame({"pair": k.view(np.int64), "n": n, "a": h[at].view(np.int64), "b": h[at + 1].view(np.int64)})
+
+
+def _page_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every page its distinct pairs, how often it has each, and how often each of the two words."""
+    for batch in batches:
+        own, ns, oxs, oys, sizes = [], [], [], [], []
+        for w in batch["words"]:
+            h = w.view(np.uint64)
             pairs, at = _pairs(h)
-            words.append(h)
-            if not len(pairs):
-                continue
-            pairs_of.append(pairs)
-            own, first, n = np.unique(pairs, return_index=True, return_counts=True)
-            if prose >= SCORED_PROSE and n[n >= 3].sum() < SCORED_REPEATED * len(pairs):
-                continue
-            number = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
-            add(0, np.array([round(prose * 1000), round(weight), row], np.int64), np.full(3, len(pairs)), number, np.arange(3))
-            add(3, own, n, number, own)
-            vocabulary, of = np.unique(h, return_counts=True)
-            for kind, side in ((4, h[at[first]]), (5, h[at[first] + 1])):
-                add(kind, side, of[np.searchsorted(vocabulary, side)], number, own)
-        if batch is None or sum(map(len, words)) >= FLUSH:
-            for kind, parts in ((1, words), (2, pairs_of)):
-                if parts:
-                    k, n = np.unique(np.concatenate(parts), return_counts=True)
-                    add(kind, k, n, 0, np.zeros(len(k), np.int64))
-            words, pairs_of = [], []
-        if kinds:
-            yield pd.DataFrame({"kind": np.concatenate(kinds), "key": np.concatenate(keys), "n": np.concatenate(counts), "page": np.concatenate(owners), "pair": np.concatenate(labels)})
+            k, first, n = np.unique(pairs, return_index=True, return_counts=True)
+            _, code, of = np.unique(h, return_inverse=True, return_counts=True)
+            of, at = of[code], at[first]
+            own.append(k.view(np.int64))
+            ns.append(n)
+            oxs.append(of[at])
+            oys.append(of[at + 1])
+            sizes.append(len(k))
+        if sizes:
+            whole = {"page": np.repeat(batch["page"].to_numpy(), sizes), "copies": np.repeat(batch["copies"].to_numpy(), sizes)}
+            yield pd.DataFrame({"pair": np.concatenate(own), **whole, "n": np.concatenate(ns), "ox": np.concatenate(oxs), "oy": np.concatenate(oys)})
 
 
 def _pages(crawl: DataFrame, processed: DataFrame | None) -> DataFrame:
@@ -146,41 +159,42 @@ def _pages(crawl: DataFrame, processed: DataFrame | None) -> DataFrame:
 
 
 def page_coherence(crawl: DataFrame, processed: DataFrame | None = None) -> DataFrame:
-    """row_key, prose, weight, pairs, unsupported, repeated, mean_pmi of every page that could be stuffed; of keys that have no page, of their text in ``processed``.
+    """row_key, prose, weight, pairs, unsupported, repeated, mean_pmi of every page with two neighbouring words; of keys that have no page, of their text in ``processed``.
 
     unsupported: share of the page's neighbouring pairs that no page of another text has. repeated: share in pairs that the page has three times or more with a
     PMI of 2 bits or more. mean_pmi: over all its pairs, by the counts of the other texts, ``SMOOTH`` added to what is seen and to what is expected: about 0
     where words meet by chance. Null and empty pages have no row; repeated rows count once.
     """
-    pages = _pages(crawl, processed).select(F.xxhash64("row_key").alias("number"), "page")
-    rows = stored(map_texts(pages, _count, OUT))
-    corpus = rows.where("kind in (1, 2)").groupBy("key").agg(F.sum("n").alias("total"))
-    size = float(rows.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
-    scored = (
-        rows.where("kind in (3, 4, 5)")
-        .join(corpus, "key")
-        .groupBy("page", "pair")
-        .agg(
-            F.sum((F.col("kind") == 3).cast("int")).alias("copies"),
-            *(F.max(F.when(F.col("kind") == k, F.col(c))).alias(a) for k, c, a in ((3, "n", "n"), (3, "total", "together"), (4, "n", "ox"), (4, "total", "x"), (5, "n", "oy"), (5, "total", "y"))),
-        )
-        .withColumn("pmi", F.log2("together") + math.log2(size) - F.log2("x") - F.log2("y"))
+    pages = _pages(crawl, processed).select(F.monotonically_increasing_id().alias("id"), F.xxhash64("row_key").alias("row"), "page")
+    pages = stored(map_texts(pages, _words, PAGES)).where("pairs > 0 or size(words) > 0")
+    words, scored = pages.select("words"), pages.where("pairs > 0")
+    size = float(scored.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] or 1)
+    counts = map_texts(words, _count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("total"))
+    corpus = (
+        map_texts(words, _count_pairs, "pair bigint, n bigint, a bigint, b bigint")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("together"), F.max("a").alias("a"), F.max("b").alias("b"))
+        .join(counts.select(F.col("word").alias("a"), F.col("total").alias("x")), "a")
+        .join(counts.select(F.col("word").alias("b"), F.col("total").alias("y")), "b")
+        .select("pair", "together", "x", "y")
     )
+    several = scored.groupBy("page").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min("id").alias("one")).where("copies > 1")
+    texts = scored.select("id", "page", "words").join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "page", "left").where("one is null or one = id")
     n, copies = F.col("n"), F.col("copies")
     others, expected = F.col("together") - n * copies, (F.col("x") - F.col("ox") * copies) * (F.col("y") - F.col("oy") * copies) / size
-    sums = scored.groupBy("page").agg(
-        F.sum(F.when(others <= 0, n).otherwise(0)).alias("unsupported"),
-        F.sum(F.when((n >= 3) & (F.col("pmi") >= 2), n).otherwise(0)).alias("repeated"),
-        (F.sum(n * F.log2((others + SMOOTH) / (expected + SMOOTH))) / F.sum(n)).alias("mean_pmi"),
-    )
-    marks = rows.where("kind = 0")
-    shape = marks.groupBy("page").agg(
-        (F.max(F.when(F.col("pair") == 0, F.col("key"))) / 1000).alias("prose"), F.max(F.when(F.col("pair") == 1, F.col("key"))).alias("weight"), F.max("n").alias("pairs")
-    )
-    scores = shape.join(sums, "page").select(
-        "page", "prose", "weight", "pairs", (F.col("unsupported") / F.col("pairs")).alias("unsupported"), (F.col("repeated") / F.col("pairs")).alias("repeated"), "mean_pmi"
+    sums = (
+        map_texts(texts.select("page", F.coalesce("copies", F.lit(1)).alias("copies"), "words"), _page_pairs, "pair bigint, page bigint, copies int, n int, ox int, oy int")
+        .join(corpus.hint("shuffle_hash"), "pair")
+        .withColumn("pmi", F.log2("together") + math.log2(size) - F.log2("x") - F.log2("y"))
+        .groupBy("page")
+        .agg(
+            F.sum(F.when(others <= 0, n).otherwise(0)).alias("unsupported"),
+            F.sum(F.when((n >= 3) & (F.col("pmi") >= 2), n).otherwise(0)).alias("repeated"),
+            F.sum(n * F.log2((others + SMOOTH) / (expected + SMOOTH))).alias("bits"),
+        )
     )
-    scores = marks.where("pair = 2").select("page", F.col("key").alias("row")).distinct().join(scores, "page").drop("page").withColumnRenamed("row", "page")
+    share = lambda c: (F.col(c) / F.col("pairs")).alias({"bits": "mean_pmi"}.get(c, c))
+    scores = scored.select("page", "row", "prose", "weight", "pairs").distinct().join(sums, "page").select(F.col("row").alias("page"), "prose", "weight", "pairs", share("unsupported"), share("repeated"), share("bits"))
     keys = crawl.select("row_key") if processed is None else crawl.select("row_key").unionByName(processed.select("row_key"))
     return keys.where("row_key is not null").distinct().withColumn("page", F.xxhash64("row_key")).join(scores, "page").drop("page")
 
@@ -188,12 +202,14 @@ def page_coherence(crawl: DataFrame, processed: DataFrame | None = None) -> Data
 def stuffed_pages(crawl: DataFrame, processed: DataFrame | None = None) -> DataFrame:
     """The rows of ``page_coherence`` that are stuffed.
 
-    A page's mean PMI is taken relative to the median of the pages with prose; ``DOUBT`` pairs of that median are added to every page, since few pairs prove little. What is left
-    when the share of repeated pairs is taken off decides. Incoherent pages without prose, or with little, are stuffed; pages that are coherent word by word, with no
+    A page's mean PMI is taken relative to the median of the pages that ``MIXED`` prose with other matter or repeat themselves; ``DOUBT`` pairs of that median are added to every
+    page, since few pairs prove little. What is left when the share of repeated pairs is taken off decides. Incoherent pages without prose, or with little, are stuffed; pages that are coherent word by word, with no
     prose, if they repeat themselves; and pages of any shape that are incoherent and hardly anything but repetition.
     """
     c = page_coherence(crawl, processed)
-    usual = c.select(F.coalesce(F.percentile_approx(F.when(F.col("prose") >= 0.5, F.col("mean_pmi")), 0.5, 1000), F.percentile_approx("mean_pmi", 0.5, 1000)).alias("usual"))
+    median = lambda pages: F.percentile_approx(F.when(pages, F.col("mean_pmi")), 0.5, 1000)
+    prose = F.col("prose") >= MIXED[0]
+    usual = c.select(F.coalesce(median(prose & ((F.col("prose") < MIXED[1]) | (F.col("repeated") >= MIXED[2]))), median(prose), median(F.lit(True))).alias("usual"))
     n, r, p = F.col("pairs"), F.col("repeated"), F.col("prose")
     relative = (n * F.col("mean_pmi") / F.greatest("usual", F.lit(0.5)) + DOUBT) / (n + DOUBT)
     left = relative - r * n / (n + DOUBT)

@@ -206,3 +206,48 @@ def test_shared_keywords_are_no_support(spark):
     df = spark.createDataFrame(rows, CRAWL)
     got = {r["row_key"]: r for r in F.stuffed_pages(df).collect()}
     assert set(got) == {f"bad{i}" for i in range(12)} and all(r["unsupported"] < 0.2 for r in got.values())
+
+
+def salad_of_sentences(rng, words, n=30):
+    """Words in any order, in paragraphs that end like sentences: all of the page counts as prose and hardly a pair is repeated."""
+    return "".join(f"<p>{' '.join(rng.choice(words) for _ in range(14))} {rng.choice(NOUNS)}.</p>" for _ in range(n))
+
+
+def test_salad_with_full_stops(spark):
+    """Pages of nothing but prose that repeat nothing are scored too."""
+    rng = random.Random(21)
+    rows = [(f"ok{i}", "u", *article(rng, f"s{i % 5}"), "", "") for i in range(80)]
+    rows += [(f"prose{i}", "u", "t", "".join(f"<p>{sentence(rng)}</p>" for _ in range(6)), "", "") for i in range(20)]
+    words = ["".join(rng.choices("abcdefghiklmnoprstu", k=7)) for _ in range(60)]
+    rows += [(f"bad{i}", "u", "t", salad_of_sentences(rng, words), "", "") for i in range(4)]
+    rows += [("again", "u2", "t", rows[-1][3], "", ""), rows[-1]]
+    df = spark.createDataFrame(rows, CRAWL)
+    got = {r["row_key"]: r for r in F.page_coherence(df).collect()}
+    assert set(got) == {r[0] for r in rows} and all(got[f"bad{i}"]["prose"] == 1 and got[f"bad{i}"]["repeated"] < 0.3 for i in range(4))
+    assert {r["row_key"] for r in F.stuffed_pages(df).collect()} == {f"bad{i}" for i in range(4)} | {"again"}
+
+
+def test_scores_against_plain_counts(spark, monkeypatch):
+    """Every page's figures equal those of plain Python, however the texts under several keys are joined."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(22)
+    texts = {f"k{i}": " ".join(rng.choice(NOUNS) for _ in range(rng.choice([1, 2, 40, 90]))) for i in range(30)}
+    texts |= {"c1": texts["k3"], "c2": texts["k3"], "c3": texts["k4"]}
+    df = spark.createDataFrame([(k, "u", "t", f"<p>{t}</p>", "", "") for k, t in texts.items()], CRAWL)
+    pairs_of = {k: Counter(zip(t.split(), t.split()[1:])) for k, t in texts.items()}
+    words, pairs = Counter(w for t in texts.values() for w in t.split()), sum(pairs_of.values(), Counter())
+    size, wanted = sum(pairs.values()), {}
+    for k, own in pairs_of.items():
+        copies, of, total = sum(t == texts[k] for t in texts.values()), Counter(texts[k].split()), sum(own.values())
+        if total:
+            others = {p: pairs[p] - n * copies for p, n in own.items()}
+            expected = {p: (words[p[0]] - of[p[0]] * copies) * (words[p[1]] - of[p[1]] * copies) / size for p in own}
+            bits = sum(n * math.log2((others[p] + 0.5) / (expected[p] + 0.5)) for p, n in own.items())
+            repeated = sum(n for p, n in own.items() if n >= 3 and math.log2(pairs[p] * size / words[p[0]] / words[p[1]]) >= 2)
+            wanted[k] = (total, round(sum(n for p, n in own.items() if others[p] <= 0) / total, 6), round(repeated / total, 6), round(bits / total, 6))
+    for bound in (F.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(F, "BROADCAST_KEYS", bound)
+        got = {r["row_key"]: (r["pairs"], *(round(r[c], 6) for c in ("unsupported", "repeated", "mean_pmi"))) for r in F.page_coherence(df).collect()}
+        assert got == wanted
