@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Every document is counted in tokens of a public tokenizer and put in a cell of source, language and topic. The cells' token weights are raked in turn to the
+Every document is counted in tokens of a public tokenizer and put in a cell of source, language and topic; the topics are fitted on all documents. The cells' token weights are raked in turn to the
 language, topic and source marginals, each cell's factor staying within how often its source may be used, and the source marginal comes last and holds exactly. A
 document of a cell with factor f is used floor(f) times and once more with probability f - floor(f); the draw orders the documents of a source by a
 hash over their probability and stops where the source's tokens are reached, so that the shares come out as asked, up to a document.
@@ -18,16 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash_sample, map_texts
+from millrace.llm.common import map_texts
 from millrace.session import stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOPICS = 8
-#: Documents that the topic centres are fitted on, chosen by a hash of their id.
-TOPIC_SAMPLE = 1000
 DIMENSIONS = 256
+#: Components of the documents' vectors are whole numbers up to this, so that their sums are exact in any order. As bytes, high byte first, they sort like the vectors.
+UNIT, COMPONENT = 65_535, ">u2"
 BUCKETS = 4096
 #: Languages below this share of the tokens are raked together.
 RARE_LANGUAGE = 0.001
@@ -37,33 +37,78 @@ MOST_TARGETS, MOST_CELLS = 10_000, 500_000
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def _vector(text: str) -> np.ndarray:
+def _vector(text: str) -> bytes:
+    """The roots of the counts of a text's hashed words, of length ``UNIT``; zeros where it has none."""
     words = [xxhash.xxh32_intdigest(w) % DIMENSIONS for w in _WORD.findall(text.lower())]
-    v = np.bincount(words, minlength=DIMENSIONS).astype(np.float32) if words else np.zeros(DIMENSIONS, np.float32)
-    v = np.sqrt(v)
-    n = np.linalg.norm(v)
-    return v / n if n else v
+    v = np.sqrt(np.bincount(words, minlength=DIMENSIONS)) if words else np.zeros(DIMENSIONS)
+    return np.rint(v * (UNIT / (np.linalg.norm(v) or 1))).astype(COMPONENT).tobytes()
 
 
-def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"v": [_vector(t) for t in batch["text"]]})
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), COMPONENT).reshape(-1, DIMENSIONS).astype(np.float64)
 
 
-def fit_topics(x: np.ndarray, topics: int = TOPICS, rounds: int = 12) -> np.ndarray:
-    """Centres of spherical k-means over the vectors of texts; the first centres are the texts furthest apart."""
-    x = x if len(x) else np.zeros((1, DIMENSIONS), np.float32)
-    centres = [x[0]]
-    while len(centres) < min(topics, len(x)):
-        centres.append(x[int(np.argmin((x @ np.stack(centres).T).max(axis=1)))])
-    c = np.stack(centres)
+def _furthest(centres: np.ndarray):
+    """Of each task the vector least like its nearest centre, of several the first in order. Texts without words have no place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            x = _matrix(batch["v"])
+            near = np.round((x @ centres.T).max(axis=1, initial=0) / UNIT, 9)
+            near[~x.any(axis=1)] = np.inf
+            at = np.flatnonzero(near == near.min(initial=np.inf))
+            if len(at) and near[at[0]] < np.inf:
+                found = (float(near[at[0]]), min(batch["v"].iloc[at]))
+                best = found if best is None else min(best, found)
+        if best is not None:
+            yield pd.DataFrame({"near": [best[0]], "v": [best[1]]})
+
+    return run
+
+
+def _sums(centres: np.ndarray):
+    """Of each task the sums of the vectors nearest to every centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(centres.shape, np.int64)
+        for batch in batches:
+            x = _matrix(batch["v"])
+            near = (x @ centres.T).argmax(axis=1)
+            for k in range(len(centres)):
+                sums[k] += x[near == k].sum(axis=0).astype(np.int64)
+        yield pd.DataFrame({"k": range(len(sums)), "sums": list(sums)})
+
+    return run
+
+
+def fit_topics(vectors: DataFrame, topics: int = TOPICS, rounds: int = 12) -> np.ndarray:
+    """Centres of spherical k-means over all vectors ``v`` of texts; the first centres are the texts furthest apart.
+
+    A pass over the vectors finds one of the first centres, and a pass makes one round. Each task sends one vector, or the sums of ``topics`` (2 KB each).
+    """
+    seeds: list[bytes] = []
+    centres = np.zeros((0, DIMENSIONS))
+    while len(seeds) < topics:
+        found = vectors.mapInPandas(_furthest(centres), "near double, v binary").collect()  # one row a task
+        v = min(((r["near"], bytes(r["v"])) for r in found), default=(0, None))[1]
+        if v is None or v in seeds:
+            break
+        seeds.append(v)
+        centres = _matrix(pd.Series(seeds))
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    if not seeds:
+        return np.zeros((1, DIMENSIONS))
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
-        for k in range(len(c)):
-            if (near == k).any():
-                m = x[near == k].mean(axis=0)
-                c[k] = m / (np.linalg.norm(m) or 1)
-    return c
+        sums = np.zeros(centres.shape, np.int64)
+        for r in vectors.mapInPandas(_sums(centres), "k int, sums array<bigint>").collect():  # as many rows a task as topics
+            sums[r["k"]] += np.array(r["sums"], np.int64)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        moved = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    return centres
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -71,7 +116,7 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def _measure(vocabulary: bytes, pattern: str, centres: np.ndarray):
+def _measure(vocabulary: bytes, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
@@ -79,16 +124,16 @@ def _measure(vocabulary: bytes, pattern: str, centres: np.ndarray):
         encoding = tiktoken.Encoding("millrace", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             tokens = [len(encoding.encode_ordinary(t)) for t in batch["text"]]
-            v = np.stack([_vector(t) for t in batch["text"]]) if len(batch) else np.zeros((0, DIMENSIONS), np.float32)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy(),
-                    "source": batch["source"].to_numpy(),
-                    "lang": batch["lang"].to_numpy(),
-                    "topic": (v @ centres.T).argmax(axis=1).astype("int32"),
-                    "tokens": np.array(tokens, dtype="int64"),
-                }
-            )
+            yield batch[["doc_id", "source", "lang"]].assign(tokens=np.array(tokens, dtype="int64"), v=[_vector(t) for t in batch["text"]])
+
+    return run
+
+
+def _assign(centres: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            topic = (_matrix(batch["v"]) @ centres.T).argmax(axis=1).astype("int32")
+            yield batch[["doc_id", "source", "lang"]].assign(topic=topic, tokens=batch["tokens"])
 
     return run
 
@@ -100,10 +145,9 @@ def measured(documents: DataFrame, sources: list[str], tokenizer: str = TOKENIZE
     known = {re.sub(r"[\W_]+", "", s.lower()): s for s in sources}
     name = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[source] if known else F.lit(None).cast("string")
     docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), name.alias("source"), lang.alias("lang"), "text").where("source is not null")
-    sample = map_texts(hash_sample(docs.select("doc_id", "text"), "doc_id", TOPIC_SAMPLE), _vectors, "v array<float>").collect()  # at most twice TOPIC_SAMPLE vectors, 1 KB each
-    vectors = np.array(sorted(r["v"] for r in sample), dtype=np.float32) if sample else np.zeros((0, DIMENSIONS), np.float32)
-    centres = fit_topics(vectors, topics)
-    return map_texts(docs, _measure(read_vocabulary(tokenizer), pattern, centres), "doc_id bigint, source string, lang string, topic int, tokens bigint")
+    docs = stored(map_texts(docs, _measure(read_vocabulary(tokenizer), pattern), "doc_id bigint, source string, lang string, tokens bigint, v binary"))
+    centres = fit_topics(docs.select("v"), topics)
+    return docs.mapInPandas(_assign(centres), "doc_id bigint, source string, lang string, topic int, tokens bigint")
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float], repeats: dict[str, int], total: float | None = None, temperature: float = 0.8, rounds: int = 60) -> tuple[pd.Series, float]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -44,3 +45,41 @@ def test_rake_keeps_caps_and_shares():
     used = (f * cells["tokens"]).groupby(cells["source"]).sum()
     assert total == pytest.approx(3200) and used["a"] == pytest.approx(1600) and used["b"] == pytest.approx(1600)
     assert (f <= cells["source"].map({"a": 1, "b": 4}) + 1e-9).all()
+
+
+def plain_fit(x, topics=M.TOPICS, rounds=12):
+    """The same k-means over vectors in memory, in their order."""
+    x = x[x.any(axis=1)]
+    c = [x[0] / np.linalg.norm(x[0])]
+    while len(c) < topics:
+        near = np.round((x @ np.stack(c).T).max(axis=1) / M.UNIT, 9)
+        c.append(x[near.argmin()] / np.linalg.norm(x[near.argmin()]))
+    c = np.stack(c)
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[near == k].sum(axis=0) / np.linalg.norm(x[near == k].sum(axis=0)) if (near == k).any() else c[k] for k in range(len(c))])
+    return c
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """5,000 documents of four subjects and four of a fifth, with some that have no words: the fit equals one over all vectors, and the few have a topic of their own."""
+    rng = random.Random(3)
+    subjects = [["".join(rng.choices("abcdefghiklmnop", k=8)) for _ in range(12)] for _ in range(5)]
+    texts = [" ".join(rng.choices(subjects[i % 4], k=30)) for i in range(5000)] + [" ".join(rng.choices(subjects[4], k=30)) for _ in range(4)] + ["1 2", "", "a b"]
+    ids = [*range(5000), *range(5018, 5025)]  # 5018 to 5021 were not in the sample of a thousand that topics were once fitted on
+    docs = spark.createDataFrame([(i, t, "en", "big", 0, "") for i, t in zip(ids, texts)], DOCS)
+    topic = {r["doc_id"]: r["topic"] for r in M.measured(docs.repartition(7), ["big"], topics=5).collect()}
+    few = {topic[i] for i in range(5018, 5022)}
+    assert len(few) == 1 and not few & {topic[i] for i in range(5000)}
+    centres = plain_fit(M._matrix(pd.Series(sorted(map(M._vector, texts)))), 5)
+    assert [topic[i] for i in ids] == (M._matrix(pd.Series(list(map(M._vector, texts)))) @ centres.T).argmax(axis=1).tolist()
+    assert len({topic[i] for i in range(5000)}) == 4
+    again = {r["doc_id"]: r["topic"] for r in M.measured(docs.repartition(3), ["big"], topics=5).collect()}
+    assert again == topic
+
+
+def test_topics_of_few_texts(spark):
+    docs = lambda texts: spark.createDataFrame([(i, t, "en", "big", 0, "") for i, t in enumerate(texts)], DOCS)
+    assert {r["topic"] for r in M.measured(docs(["1", "", "2 3"]), ["big"]).collect()} == {0}
+    assert len({r["topic"] for r in M.measured(docs(["mill bridge", "mill bridge", "harbour", ""]), ["big"]).collect()}) == 2
+    assert M.measured(docs(["x"]).limit(0), ["big"]).count() == 0
