@@ -37,7 +37,7 @@ DOUBT = 40
 BROADCAST_KEYS = 300_000
 #: Words whose counts are combined before they are handed on.
 FLUSH = 3_000_000
-#: The usual PMI is that of pages with this much prose, and with less than so much or at least this share of repeated pairs: pure prose, whose pairs are rarer, has a lower one.
+#: The usual PMI is that of pages with this much prose, and with less than so much or at least this share of recurring pairs: pure prose, whose pairs are rarer, has a lower one.
 MIXED = (0.5, 0.7, 0.3)
 
 PAGES = "id bigint, row bigint, page bigint, prose double, weight bigint, pairs int, words array<bigint>"
@@ -159,10 +159,10 @@ def _pages(crawl: DataFrame, processed: DataFrame | None) -> DataFrame:
 
 
 def page_coherence(crawl: DataFrame, processed: DataFrame | None = None) -> DataFrame:
-    """row_key, prose, weight, pairs, unsupported, repeated, mean_pmi of every page with two neighbouring words; of keys that have no page, of their text in ``processed``.
+    """row_key, prose, weight, pairs, unsupported, recurring, repeated, mean_pmi of every page with two neighbouring words; of keys that have no page, of their text in ``processed``.
 
-    unsupported: share of the page's neighbouring pairs that no page of another text has. repeated: share in pairs that the page has three times or more with a
-    PMI of 2 bits or more. mean_pmi: over all its pairs, by the counts of the other texts, ``SMOOTH`` added to what is seen and to what is expected: about 0
+    unsupported: share of the page's neighbouring pairs that no page of another text has. recurring: share in pairs that the page has three times or more; repeated:
+    in those of them with a PMI of 2 bits or more. mean_pmi: over all its pairs, by the counts of the other texts, ``SMOOTH`` added to what is seen and to what is expected: about 0
     where words meet by chance. Null and empty pages have no row; repeated rows count once.
     """
     pages = _pages(crawl, processed).select(F.monotonically_increasing_id().alias("id"), F.xxhash64("row_key").alias("row"), "page")
@@ -189,12 +189,13 @@ def page_coherence(crawl: DataFrame, processed: DataFrame | None = None) -> Data
         .groupBy("page")
         .agg(
             F.sum(F.when(others <= 0, n).otherwise(0)).alias("unsupported"),
+            F.sum(F.when(n >= 3, n).otherwise(0)).alias("recurring"),
             F.sum(F.when((n >= 3) & (F.col("pmi") >= 2), n).otherwise(0)).alias("repeated"),
             F.sum(n * F.log2((others + SMOOTH) / (expected + SMOOTH))).alias("bits"),
         )
     )
     share = lambda c: (F.col(c) / F.col("pairs")).alias({"bits": "mean_pmi"}.get(c, c))
-    scores = scored.select("page", "row", "prose", "weight", "pairs").distinct().join(sums, "page").select(F.col("row").alias("page"), "prose", "weight", "pairs", share("unsupported"), share("repeated"), share("bits"))
+    scores = scored.select("page", "row", "prose", "weight", "pairs").distinct().join(sums, "page").select(F.col("row").alias("page"), "prose", "weight", "pairs", share("unsupported"), share("recurring"), share("repeated"), share("bits"))
     keys = crawl.select("row_key") if processed is None else crawl.select("row_key").unionByName(processed.select("row_key"))
     return keys.where("row_key is not null").distinct().withColumn("page", F.xxhash64("row_key")).join(scores, "page").drop("page")
 
@@ -209,7 +210,7 @@ def stuffed_pages(crawl: DataFrame, processed: DataFrame | None = None) -> DataF
     c = page_coherence(crawl, processed)
     median = lambda pages: F.percentile_approx(F.when(pages, F.col("mean_pmi")), 0.5, 1000)
     prose = F.col("prose") >= MIXED[0]
-    usual = c.select(F.coalesce(median(prose & ((F.col("prose") < MIXED[1]) | (F.col("repeated") >= MIXED[2]))), median(prose), median(F.lit(True))).alias("usual"))
+    usual = c.select(F.coalesce(median(prose & ((F.col("prose") < MIXED[1]) | (F.col("recurring") >= MIXED[2]))), median(prose), median(F.lit(True))).alias("usual"))
     n, r, p = F.col("pairs"), F.col("repeated"), F.col("prose")
     relative = (n * F.col("mean_pmi") / F.greatest("usual", F.lit(0.5)) + DOUBT) / (n + DOUBT)
     left = relative - r * n / (n + DOUBT)
