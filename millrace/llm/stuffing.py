@@ -37,7 +37,7 @@ DOUBT = 40
 BROADCAST_KEYS = 300_000
 #: Words whose counts are combined before they are handed on.
 FLUSH = 3_000_000
-#: The usual PMI is that of pages with this much prose, and with less than so much or at least this share of recurring pairs: pure prose, whose pairs are rarer, has a lower one.
+#: The usual PMI is that of pages with this much prose, and with less than so much or at least this share of recurring pairs: pure prose has a lower one.
 MIXED = (0.5, 0.7, 0.3)
 
 PAGES = "id bigint, row bigint, page bigint, prose double, weight bigint, pairs int, words array<bigint>"
